@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm import decontaminate, mixing, mpegts, simhash, warc
+from quireflow.llm import decontaminate, lines, mixing, mpegts, oracles, preferences, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.preferences(_table(spark, sf_dir, "conversations"))
+
+
 def op7_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.probe(mpegts.store(_table(spark, sf_dir, "documents"))).drop("units")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "longest_match", "match_start")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,4 +50,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": oracles.WARC,
+        "op4_lines": oracles.LINES,
+        "op6_preferences": oracles.PREFERENCES,
+        "op8_secrets": oracles.SECRETS,
+        "op9_decontaminate": oracles.DECONTAMINATE,
+    }
