@@ -180,10 +180,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes
     """docs with a struct column of what scan_texts gives; docs has text. No shuffle, whatever the skew."""
     out = docs
     for k, q in enumerate(_blocks(benchmark, window, block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(q)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(q))  # plain values: broadcasts are pickled by reference
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, again=k > 0) -> Iterator[pa.RecordBatch]:
-            q = shared.value
+            q = Queries.__new__(Queries)
+            vars(q).update(shared.value)
             for batch in batches:
                 found = list(scan_texts((x.as_py() for x in batch.column("text")), q))
                 if again:
