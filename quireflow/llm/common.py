@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +47,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str
     """
     values = [c for c in right.columns if c not in (key, n)]
     hot = hot_keys(right, n).select(F.col(key).alias("__hot_key"), F.struct(*values).alias("__hot"))
-    rest = right.select(F.col(key).alias("__key"), F.lit(0).alias("__rest_salt"), F.struct(*values).alias("__rest"))
+    rest = right.select(F.struct(F.col(key).alias("k"), F.lit(0).alias("salt")).alias("__key"), F.struct(*values).alias("__rest"))
     marked = left.join(F.broadcast(hot), left[key] == F.col("__hot_key"), "left")
     odd = F.col("__hot").isNotNull() | F.col(key).isNull()
-    marked = marked.withColumn("__salt", F.when(odd, 1 + F.pmod(F.xxhash64(spread), F.lit(100_003))).otherwise(0).cast("int"))
-    out = marked.join(rest, (marked[key] == rest["__key"]) & (marked["__salt"] == rest["__rest_salt"]), "left")
+    salt = F.when(odd, 1 + F.pmod(F.xxhash64(spread), F.lit(100_003))).otherwise(0).cast("int")
+    # One struct, not two columns: a salt that is 0 for all of right would be folded away.
+    out = marked.withColumn("__salted", F.struct(F.col(key).alias("k"), salt.alias("salt"))).join(rest, F.col("__salted") == F.col("__key"), "left")
     found = F.coalesce(F.col("__hot"), F.col("__rest"))
     if how == "inner":
         out = out.filter(found.isNotNull())
