@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm import decontaminate, lines, mixing, mpegts, oracles, preferences, secrets, simhash, warc
+from quireflow.llm import decontaminate, langid, lines, mixing, mpegts, oracles, preferences, secrets, simhash, warc, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.preferences(_table(spark, sf_dir, "conversations"))
 
