@@ -124,7 +124,8 @@ def pieces(documents: DataFrame, sources: DataFrame, block_words: int = BLOCK_WO
     at, end = F.greatest(F.col("from"), F.col("block") * block_words), F.least(F.col("to"), (F.col("block") + 1) * block_words)
     p = p.select("doc_id", "number", "start", "turn", "block", (at - F.col("from")).alias("word"), (end - at).alias("words"), at.alias("at"))
     rank = F.struct(F.xxhash64(F.lit(seed), "shard", "number", "block").alias("h"), "number", "at").alias("rank")
-    return p.join(blocks, ["number", "block"]).select("shard", rank, "doc_id", "number", "start", "turn", "word", "words")
+    # As many blocks as the corpus has: the planner takes them for few and would broadcast them.
+    return p.join(blocks.hint("merge"), ["number", "block"]).select("shard", rank, "doc_id", "number", "start", "turn", "word", "words")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 42, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
