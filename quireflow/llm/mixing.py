@@ -139,6 +139,19 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHA
     return out.select("doc_id", "size", "source", "source_size", "target", zero("taken"), zero("pieces"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with size, source_size, target and taken, of which the mix takes at least a word.
+
+    Rows with one doc_id, source and size have equal shares of what they are given together, so that they need no order.
+    """
+    m = mix(docs).groupBy("doc_id", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("__taken"), F.count("*").alias("__n"))
+    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", F.expr("__taken div __n").alias("taken"))
+    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+    d = docs.select(*own).withColumn("size", size(F.col("text")))
+    on = d["doc_id"].eqNullSafe(m["__id"]) & d["source"].eqNullSafe(m["__source"]) & (d["size"] == m["__size"])
+    return d.join(m.filter("taken > 0"), on).select(*[d[c] for c in own], d["size"], "source_size", "target", "taken")
+
+
 def mixed_text(docs: DataFrame, parts: DataFrame, documents: DataFrame) -> DataFrame:
     """shard, rank, doc_id and the words of each piece joined by a blank; doc_id must be unique in docs."""
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
