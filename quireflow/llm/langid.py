@@ -3,8 +3,8 @@
 A model per language is learnt from a bounded sample of labelled documents, and kept in sorted arrays of 64-bit n-gram
 hashes with log probabilities and back-off weights, a column per language. A text's letters, lower-cased, with a blank for
 whatever is between them, are scored whole; the language with the lowest cross-entropy per character wins.
-Rejection is calibrated on labelled documents kept apart: a text is rejected if its cross-entropy is further above what its language
-has, for its length, than in any of those, with a margin.
+Rejection is calibrated on labelled documents kept apart, as they are and with their characters shuffled: a text is rejected if its
+cross-entropy is nearer to what shuffled texts of its language have than to what real ones have, and too far off for its length to be chance.
 
 Only text and non-null lang of documents whose crc32 of doc_id is not divisible by 5 are learnt from (a null doc_id counts as
 empty text, whose crc32 is 0). Defined results: null text, or one without letters, is `und` with score 0, and rejected; without any
@@ -28,8 +28,10 @@ ORDER = 4
 DOCS_PER_LANGUAGE = 1200
 #: Characters scored at a time, and slots of the cache of n-grams looked up.
 CHUNK, CACHE = 1 << 19, 1 << 18
-#: A text's posterior counts at most so many characters, which are not independent; margin and least width of rejection.
-EVIDENCE, MARGIN, WIDTH = 60, 1.5, 30.0
+#: A text's posterior counts at most so many characters, which are not independent.
+EVIDENCE = 60
+#: Nats above the mean, times the root of the number of characters (400 at most), up to which no text is rejected.
+WIDTH = 12.0
 START = "\x02"
 B = 0x9E3779B97F4A7C15
 
@@ -204,8 +206,9 @@ def decide(model: dict, size: int, h: np.ndarray) -> tuple[str, float, bool, flo
         return "und", 0.0, True, None
     best = int(np.argmin(h))
     score = float(1 / np.exp(-(h - h[best]) * min(size, EVIDENCE)).sum())
-    mean, width = model["calibration"].get(model["names"][best], (float(h[best]), WIDTH))
-    return model["names"][best], score, bool((h[best] - mean) * min(size, 400) ** 0.5 > width), float(h[best])
+    mean, shuffled = model["calibration"].get(model["names"][best], (float("inf"), float("inf")))
+    rejected = h[best] > (mean + shuffled) / 2 and (h[best] - mean) * min(size, 400) ** 0.5 > WIDTH
+    return model["names"][best], score, bool(rejected), float(h[best])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -238,27 +241,35 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
     return rows.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def shuffled(text: str | None) -> str:
+    """The text's letters and blanks in an order that depends on nothing but them."""
+    c = letters(text)
+    return np.random.default_rng(len(c)).permutation(c).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def calibrated(model: dict, rows: DataFrame) -> dict:
-    """The model with (mean cross-entropy, width) per language, from rows that were not learnt from."""
+    """The model with the mean cross-entropy per language of real and of shuffled texts, from rows that were not learnt from.
+
+    Only sums per language and batch leave the workers; a language without such rows rejects nothing.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         at = {x: k for k, x in enumerate(shared.value["names"])}
+        sums = np.zeros((len(at), 3))
         for b in batches:
             langs = b.column("lang").to_pylist()
-            own = [(x, n, float(h[at[x]])) for x, (n, h) in zip(langs, score(t.as_py() for t in b.column("text")), strict=True) if n and x in at]
-            c = list(zip(*own, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], ["lang", "size", "h"])
-
-    out = {}
-    by = defaultdict(list)
-    for r in rows.select("text", "lang").mapInArrow(run, "lang string, size long, h double").collect():
-        by[r["lang"]].append((r["h"], r["size"]))
-    for lang, found_ in by.items():
-        h, size = (np.array(x, float) for x in zip(*sorted(found_), strict=True))
-        mean = float(np.average(h, weights=np.minimum(size, 400)))
-        out[lang] = (mean, max(WIDTH, MARGIN * float(((h - mean) * np.minimum(size, 400) ** 0.5).max())))
+            for real in (True, False):
+                texts = (t.as_py() if real else shuffled(t.as_py()) for t in b.column("text"))
+                for lang, (n, h) in zip(langs, score(texts), strict=True):
+                    if n and lang in at:
+                        w = min(n, 400)
+                        sums[at[lang]] += (w, w * h[at[lang]], 0) if real else (0, 0, w * h[at[lang]])
+        yield pa.RecordBatch.from_arrays([pa.array(list(at)), *(pa.array(sums[:, k]) for k in range(3))], ["lang", "w", "real", "mixed"])
+
+    sums = rows.select("text", "lang").mapInArrow(run, "lang string, w double, real double, mixed double").groupBy("lang").agg(F.sum("w").alias("w"), F.sum("real").alias("real"), F.sum("mixed").alias("mixed"))
+    out = {r["lang"]: (round(r["real"] / r["w"], 6), round(r["mixed"] / r["w"], 6)) for r in sums.filter("w > 0").collect()}  # rounded: the order of the sums may differ
     return model | {"calibration": out}
 
 
