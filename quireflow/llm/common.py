@@ -1,35 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, lineage cuts and skew-safe lookups."""
+"""What the operators of this subpackage share: skew-safe lookups and connected components."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key that holds at least this share of the rows is hot, so there are at most HOT_PARTS hot keys.
-HOT_PARTS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir.
+from quireflow.lineage import shared_dir, stored
 
-    Only a local master may do without that setting; it then gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
-        base = "/tmp/checkpoints/quireflow"
-    return f"{base.rstrip('/')}/quireflow-{uuid.uuid4().hex}"
+__all__ = ["components", "hot_keys", "lookup", "shared_dir", "stored"]
 
-
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A key that holds at least this share of the rows is hot, so there are at most HOT_PARTS hot keys.
+HOT_PARTS = 1000
 
 
 def hot_keys(counts: DataFrame, n: str = "n") -> DataFrame:
@@ -76,8 +57,3 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "comp")
         if after.filter(F.col("comp") != F.col("was")).isEmpty():
             return labels
-
-
-def needs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Only the named columns, so that others with clashing names can do no harm."""
-    return df.select(*columns)
