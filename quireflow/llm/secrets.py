@@ -48,6 +48,8 @@ MORE = (
 )
 #: Sets of more strings than this are not followed on.
 STRINGS = 64
+#: Matches of a text whose places are summed up together.
+BLOCK = 256
 
 
 def trigrams(s: str) -> frozenset[str]:
@@ -165,13 +167,19 @@ def candidate(rule: Rule, rules: tuple[Rule, ...] = BASE + MORE) -> Column:
 
 
 def spans(rule: Rule, rank: int) -> Column:
-    """The rule's matches in text: structs (start, rank, kind, end). Pieces between matches and matches by turns give the places."""
+    """The rule's matches in text: structs (start, rank, kind, end). Pieces between matches and matches by turns give the places.
+
+    Places are running sums: first of blocks of BLOCK matches, then within each, so that a text with n matches costs about n * BLOCK.
+    """
     quoted = rule.regex.replace("\\", "\\\\").replace("'", "\\'")
     group = f"regexp_extract_all(text, '{quoted}', {rule.group})"
     arrays = f"array(named_struct('m', regexp_extract_all(text, '{quoted}', 0), 'g', {group}, 'p', split(text, '{quoted}', -1)))"
-    step = "named_struct('at', a.at + length(x.p[i]) + length(x.m[i]), 'out', concat(a.out, array(named_struct('start', a.at + length(x.p[i]), 'rank', {rank}, 'kind', '{kind}', 'end', a.at + length(x.p[i]) + length(x.m[i]), 'size', length(x.g[i])))))".format(rank=rank, kind=rule.kind)
+    piece, match = "length(x.p[i])", "length(x.m[i])"
+    own = f"sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size(x.m)) - 1)"
+    begins = f"aggregate(sequence(0, cast((size(x.m) - 1) div {BLOCK} AS int)), named_struct('at', 0, 'out', cast(array() AS array<int>)), (a, b) -> named_struct('at', a.at + aggregate({own}, 0, (n, i) -> n + {piece} + {match}), 'out', concat(a.out, array(a.at))), a -> a.out)"
+    step = f"named_struct('at', a.at + {piece} + {match}, 'out', concat(a.out, array(named_struct('start', a.at + {piece}, 'rank', {rank}, 'kind', '{rule.kind}', 'end', a.at + {piece} + {match}, 'size', length(x.g[i])))))"
     empty = "cast(array() AS array<struct<start: int, rank: int, kind: string, end: int, size: int>>)"
-    found = f"transform({arrays}, x -> aggregate(sequence(0, size(x.m) - 1), named_struct('at', 0, 'out', {empty}), (a, i) -> {step}, a -> a.out))[0]"
+    found = f"transform({arrays}, x -> flatten(transform({begins}, (at, b) -> aggregate({own}, named_struct('at', at, 'out', {empty}), (a, i) -> {step}, a -> a.out))))[0]"
     return F.when(F.col("text").rlike(rule.regex), F.expr(f"filter({found}, s -> s.size >= {rule.least})")).otherwise(F.expr(empty))
 
 
