@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Benchmark text beyond this many bytes is searched in several blocks, so that what is broadcast stays bounded.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Words of training text in a shard, but for a longer document.
 SHARD_WORDS = 1 << 20
 
