@@ -45,14 +45,14 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {CHUNKS_SQL}, c AS (SELECT lang, chunks.text FROM chunks JOIN documents USING (doc_id)),
   d AS (SELECT lang, sum(n - 1)::BIGINT AS duplicate_chunks FROM (SELECT lang, {FOLD.format('text')} AS t, count(*) AS n FROM c GROUP BY ALL) GROUP BY lang)
-  SELECT lang, count(*) AS chunk_count, 0::BIGINT AS context_prefix_chunks, 0.0::DOUBLE AS context_prefix_coverage, 0.0::DOUBLE AS locator_coverage, round(avg(length(text)), 2) AS text_mean,
+  SELECT lang, count(*) AS chunk_count, 0::BIGINT AS context_prefix_chunks, 0.0::DOUBLE AS context_prefix_coverage, 0.0::DOUBLE AS locator_coverage, round_even(avg(length(text)), 2) AS text_mean,
     quantile_disc(length(text), 0.95)::BIGINT AS text_p95, max(length(text)) AS text_max, max(length(text)) AS embedding_max, count(*) FILTER (length(text) > 2000) AS hard_limit_violations, any_value(duplicate_chunks) AS duplicate_chunks
   FROM c JOIN d USING (lang) GROUP BY lang""")
 def chunk_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.scorecard(_chunks(spark, sf_dir), "lang")
 
 
-@query(f"""WITH RECURSIVE {CHUNKS_SQL} SELECT lang, source, count(*) AS chunk_count, sum(length(chunks.text))::BIGINT AS chars, round(avg(length(chunks.text)), 2) AS text_mean
+@query(f"""WITH RECURSIVE {CHUNKS_SQL} SELECT lang, source, count(*) AS chunk_count, sum(length(chunks.text))::BIGINT AS chars, round_even(avg(length(chunks.text)), 2) AS text_mean
   FROM chunks JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)""")
 def scorecard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.rollup(_chunks(spark, sf_dir), "lang", "source")
