@@ -26,7 +26,7 @@ from quireflow.llm.common import lookup, stored
 #: Shorter lines are only removed if an earlier one is the same.
 MIN_CHARS = 20
 #: Lines to look up are broadcast up to this number; more of them meet in a shuffle join.
-BROADCAST_LINES = 1 << 20
+BROADCAST_LINES = 1 << 18
 #: A line number is below this.
 LINES = 1 << 31
 
