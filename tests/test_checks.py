@@ -171,3 +171,10 @@ def test_stream(spark, tmp_path):
     stream = ingest.document_stream(spark, str(tmp_path / "in"))
     ingest.convert_stream(stream, chunk.text_chunks, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == chunk.text_chunks(docs).count() == 3
+
+
+def test_paragraphs(spark):
+    at = [(40, 100, 300, 112), (40, 116, 280, 128), (40, 132, 290, 144), (40, 200, 300, 212), (330, 104, 560, 116), (330, 120, 560, 132), (290, 136, 330, 148)]
+    lines = spark.createDataFrame([(1, 1, k, *map(float, b), "x") for k, b in enumerate(at)], "doc_id LONG, page INT, idx INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, text STRING")
+    got = {r.idx: r.paragraph for r in layout.paragraphs(lines).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 4: 2, 5: 2, 6: 3, 3: 4}  # too far below, too little aligned: a paragraph of its own
