@@ -4,7 +4,8 @@ Pages of a host are brought together. The DOM trees of the first few are aligned
 are aligned and have the same words in all are template, those that vary are slots. Each page is aligned with the template, its
 template nodes go, and the text of the slots is its content. What varies from page to page but is no article (menus,
 adverts, comments and so on have other words on each page) is told by element, role and class; where a page
-marks its article or main part, that is the content slot, and alignment treats it as one node.
+marks its article or main part, that part is the content, less its own template nodes. If these hold over half of its
+text, it is a copied article and stays whole.
 
 Defined results: null html is empty and gives an empty text; a null url, or one without host, is a host of its own; a host with
 one page has no template; repeated rows get a row each; markup that is cut off or wrongly nested is repaired as far as
@@ -196,7 +197,6 @@ class Page:
     def __init__(self, page: str | None):
         self.root = parse(page or "")
         self.slots = marked(self.root)
-        self.whole = frozenset(map(id, self.slots))
 
 
 class Template:
@@ -206,20 +206,20 @@ class Template:
         self.first = pages[0]
         self.same: dict[int, tuple[str, ...]] = {}
         if len(pages) > 1:
-            aligned = [{id(a): own(b) for a, b in matching(self.first.root, p.root, self.first.whole | p.whole)[1]} for p in pages[1:]]
+            aligned = [{id(a): own(b) for a, b in matching(self.first.root, p.root, frozenset())[1]} for p in pages[1:]]
             todo = [self.first.root]
             while todo:
                 node = todo.pop()
                 todo += node.elements()
                 words = own(node)
-                if words and id(node) not in self.first.whole and all(x.get(id(node)) == words for x in aligned):
+                if words and all(x.get(id(node)) == words for x in aligned):
                     self.same[id(node)] = words
 
     def constant(self, page: Page) -> frozenset[int]:
         """The page's nodes that are template."""
         if not self.same:
             return frozenset()
-        pairs = matching(self.first.root, page.root, self.first.whole | page.whole)[1]
+        pairs = matching(self.first.root, page.root, frozenset())[1]
         return frozenset(id(b) for a, b in pairs if id(a) in self.same and self.same[id(a)] == own(b))
 
 
@@ -257,7 +257,10 @@ def blocks(tops: list[Node], skip: frozenset[int]) -> list[str]:
 def main_text(page: Page, template: Template) -> tuple[str, int]:
     """The page's content and how many of its nodes are template."""
     skip = template.constant(page)
-    return "\n".join(blocks(page.slots or [page.root], frozenset() if page.slots else skip)), len(skip)
+    text = "\n".join(blocks(page.slots or [page.root], skip))
+    if page.slots and skip and 2 * len(text) < len(whole := "\n".join(blocks(page.slots, frozenset()))):
+        text = whole
+    return text, len(skip)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long, template_nodes int"

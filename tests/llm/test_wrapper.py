@@ -64,3 +64,13 @@ def test_matching_is_the_best():
     a, b = wrapper.parse("<ul><li>a<li>b<p>c</p></ul>"), wrapper.parse("<ul><li>x<p>y</p></ul>")
     n, pairs = wrapper.matching(a, b, frozenset())
     assert n == len(pairs) == 4
+
+
+def test_template_within_articles(spark):
+    """A notice in every article of a host goes; articles that are copied but for a line stay."""
+    page = "<body><nav>n</nav><article><h1>Title {0}</h1><p>{1}</p><p>Read our privacy terms</p></article></body>"
+    rows = [(k, "http://h/x", page.format(k, f"words of page {k} " * 5), *["x"] * 5) for k in range(6)]
+    got = {r.page_id: r for r in wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k].text == f"Title {k}\n" + " ".join([f"words of page {k}"] * 5) and got[k].template_nodes == 2 for k in range(6))
+    rows = [(k, "http://h/x", page.format(k, "the same words " * 5), *["x"] * 5) for k in range(2)]
+    assert all(r.text.startswith(f"Title {r.page_id}\nthe same words") and r.text.endswith("terms") for r in wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect())
