@@ -1,21 +1,23 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are brought together. The DOM trees of the first few are aligned by simple tree matching: nodes that
-are aligned and have the same words in all are template, those that vary are slots. Each page is aligned with the template, its
-template nodes go, and the text of the slots is its content. What varies from page to page but is no article (menus,
+Pages of a host are brought together. Their DOM trees are aligned one by one, by simple tree matching, with a tree that takes in what
+it lacks: nodes that are aligned and have the same words on most pages of distinct content are template, those that vary are
+slots. A page's template nodes go, and the text of the slots is its content. What varies from page to page but is no article (menus,
 adverts, comments and so on have other words on each page) is told by element, role and class; where a page
 marks its article or main part, that part is the content, less its own template nodes. If these hold over half of its
 text, it is a copied article and stays whole.
 
-Defined results: null html is empty and gives an empty text; a null url, or one without host, is a host of its own; a host with
-one page has no template; repeated rows get a row each; markup that is cut off or wrongly nested is repaired as far as
+Defined results: null html is empty and gives an empty text; a null url, or one without host, is a host of its own; a host whose pages
+all have one content has no template; repeated rows get a row each; markup that is cut off or wrongly nested is repaired as far as
 browsers' rules for implied ends go, and never raises.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -25,8 +27,6 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.common import stored
 
-#: Pages of a host (or of a part of a very large host) from which its template is made.
-SAMPLE = 4
 #: A host is dealt out in parts of so many pages, or of this share of all pages if that is more: so many hosts at most are broadcast.
 PART_PAGES, PARTS = 64, 100_000
 DEPTH, PRODUCT = 150, 4096
@@ -57,13 +57,18 @@ CONTENT = frozenset("content maincontent article post entry articlebody postcont
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag", "up")
+    __slots__ = ("attrs", "inner", "kids", "seen", "tag", "up", "words")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
+        self.inner: list[Node] | None = None
+        self.words: tuple[str, ...] | None = None
+        self.seen: Counter | None = None  # of a template's node: pages by the words they have there
 
     def elements(self) -> list[Node]:
-        return [k for k in self.kids if isinstance(k, Node)]
+        if self.inner is None:
+            self.inner = [k for k in self.kids if isinstance(k, Node)]
+        return self.inner
 
     def names(self) -> set[str]:
         return set(re.split(r"[^a-z0-9]+", f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower()))
@@ -160,67 +165,129 @@ def marked(root: Node) -> list[Node]:
 
 
 def own(node: Node) -> tuple[str, ...]:
-    return tuple(x for k in node.kids if isinstance(k, str) and (x := " ".join(k.split())))
+    if node.words is None:
+        node.words = tuple(x for k in node.kids if isinstance(k, str) and (x := " ".join(k.split())))
+    return node.words
+
+
+def same_words(a: Node, b: Node) -> bool:
+    """Whether b, of a page, has words that a has, or that pages had there if a is of a template."""
+    words = own(b)
+    return bool(words) and (words in a.seen if a.seen is not None else own(a) == words)
+
+
+def runs(x: list[Node], y: list[Node]) -> Iterator[tuple[Node, Node]]:
+    """Long lists side by side: by their longest common runs of equal names and words, and between these of equal names."""
+    names = lambda k: (k.tag, k.attrs.get("class"))
+    at = [0, 0]
+    for s in SequenceMatcher(None, [(names(k), own(k)) for k in x], [(names(k), own(k)) for k in y], autojunk=False).get_matching_blocks():
+        p, q = x[at[0] : s.a], y[at[1] : s.b]
+        for t in SequenceMatcher(None, [*map(names, p)], [*map(names, q)], autojunk=False).get_matching_blocks():
+            yield from zip(p[t.a : t.a + t.size], q[t.b : t.b + t.size], strict=True)
+        yield from zip(x[s.a : s.a + s.size], y[s.b : s.b + s.size], strict=True)
+        at = [s.a + s.size, s.b + s.size]
 
 
 def matching(a: Node, b: Node, whole: frozenset[int]) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest number of nodes aligned in order, top down, and the pairs. Nodes in whole have no inside."""
-    if id(a) in whole or id(b) in whole:
-        return 1, [(a, b)]
+    """Simple tree matching: the largest number of nodes aligned in order, top down, and the pairs. Those of the same words count twice, those in whole have no inside."""
+    one = 1 + same_words(a, b)
     x, y = a.elements(), b.elements()
-    if len(x) * len(y) > PRODUCT:  # long lists by their longest common runs of names
-        same = SequenceMatcher(None, [(k.tag, k.attrs.get("class")) for k in x], [(k.tag, k.attrs.get("class")) for k in y], autojunk=False).get_matching_blocks()
-        parts = [matching(x[s.a + k], y[s.b + k], whole) for s in same for k in range(s.size)]
-        return 1 + sum(n for n, _ in parts), [(a, b), *(p for _, ps in parts for p in ps)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    found = {}
-    for i, p in enumerate(x, 1):
-        for j, q in enumerate(y, 1):
-            m = max(best[i - 1][j], best[i][j - 1])
-            if p.tag == q.tag:
-                found[i, j] = n, _ = matching(p, q, whole)
-                m = max(m, best[i - 1][j - 1] + n)
-            best[i][j] = m
+    if not x or not y or id(a) in whole or id(b) in whole:
+        return one, [(a, b)]
+    if len(x) * len(y) > PRODUCT:
+        parts = [matching(p, q, whole) for p, q in runs(x, y)]
+        return one + sum(n for n, _ in parts), [(a, b), *(p for _, ps in parts for p in ps)]
+    right = [(q.tag, own(q), not q.elements(), q) for q in y]
+    best, inner = [[0] * (len(y) + 1)], {}
+    for i, p in enumerate(x):
+        tag, leaf, words = p.tag, not p.elements(), p.seen if p.seen is not None else {own(p)}
+        up, row, last = best[-1], [0], 0
+        for j, (tag_q, words_q, leaf_q, q) in enumerate(right):
+            if up[j + 1] > last:
+                last = up[j + 1]
+            if tag == tag_q:
+                if leaf or leaf_q:  # most pairs: as matching() has it, without the call
+                    n = 2 if words_q and words_q in words else 1
+                else:
+                    n, _ = inner[i, j] = matching(p, q, whole)
+                if up[j] + n > last:
+                    last = up[j] + n
+            row.append(last)
+        best.append(row)
     i, j, pairs = len(x), len(y), [(a, b)]
     while i and j:
-        if (i, j) in found and best[i][j] == best[i - 1][j - 1] + found[i, j][0]:
-            pairs += found[i, j][1]
+        p, q = x[i - 1], y[j - 1]
+        n, inside = inner.get((i - 1, j - 1)) or (1 + same_words(p, q), [(p, q)])
+        if p.tag == q.tag and best[i][j] == best[i - 1][j - 1] + n:
+            pairs += inside
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[len(x)][len(y)], pairs
+    return one + best[len(x)][len(y)], pairs
 
 
 class Page:
     def __init__(self, page: str | None):
         self.root = parse(page or "")
         self.slots = marked(self.root)
+        self.plain = "\n".join(blocks(self.slots or [self.root], frozenset()))  # what element, role and class leave
+
+
+def all_words(node: Node) -> set[tuple[str, ...]]:
+    out, todo = set(), [node]
+    while todo:
+        todo += (node := todo.pop()).elements()
+        out.add(own(node))
+    return out - {()}
 
 
 class Template:
-    """The first page's tree, and which of its nodes have the same words in all of the sample."""
+    """A tree that pages were aligned with, which took in what it lacked, and how many pages of distinct content have which words at its nodes."""
 
     def __init__(self, pages: list[Page]):
-        self.first = pages[0]
-        self.same: dict[int, tuple[str, ...]] = {}
-        if len(pages) > 1:
-            aligned = [{id(a): own(b) for a, b in matching(self.first.root, p.root, frozenset())[1]} for p in pages[1:]]
-            todo = [self.first.root]
+        distinct = {p.plain: p for p in reversed(pages)}.values()  # copies of an article are one page, else it were template
+        #: So many pages have a template node's words: most, and three at least unless all have. Words of fewer pages need no alignment.
+        self.least = max(2, min(len(distinct), max(3, len(distinct) // 2 + 1)))
+        self.common = {w for w, n in Counter(w for p in distinct for w in all_words(p.root)).items() if n >= self.least}
+        self.root = Node("html", {}, None)
+        self.root.seen, self.root.inner = Counter(), []
+        for p in distinct if self.common else ():
+            at = {id(b): a for a, b in matching(self.root, p.root, frozenset())[1]}
+            todo = [p.root]
             while todo:
                 node = todo.pop()
-                todo += node.elements()
-                words = own(node)
-                if words and all(x.get(id(node)) == words for x in aligned):
-                    self.same[id(node)] = words
+                self.count(at[id(node)], node)
+                last, new = None, {}
+                for k in node.elements():
+                    if id(k) in at:
+                        last = at[id(k)]
+                        todo.append(k)
+                    else:
+                        new.setdefault(id(last), []).append(self.graft(k))
+                if new:
+                    to = at[id(node)]
+                    to.inner = new.get(id(None), []) + [x for k in to.inner for x in (k, *new.get(id(k), ()))]
+
+    @staticmethod
+    def count(to: Node, node: Node) -> None:
+        if words := own(node):
+            to.seen[words] += 1
+        if not to.words or to.seen[words] > to.seen[to.words]:
+            to.words = words
+
+    def graft(self, node: Node) -> Node:
+        to = Node(node.tag, node.attrs, None)
+        to.seen, to.inner = Counter(), [self.graft(k) for k in node.elements()]
+        self.count(to, node)
+        return to
 
     def constant(self, page: Page) -> frozenset[int]:
         """The page's nodes that are template."""
-        if not self.same:
+        if not self.common or self.common.isdisjoint(all_words(page.root)):
             return frozenset()
-        pairs = matching(self.first.root, page.root, frozenset())[1]
-        return frozenset(id(b) for a, b in pairs if id(a) in self.same and self.same[id(a)] == own(b))
+        return frozenset(id(b) for a, b in matching(self.root, page.root, frozenset())[1] if a.seen[own(b)] >= self.least)
 
 
 def blocks(tops: list[Node], skip: frozenset[int]) -> list[str]:
@@ -257,16 +324,14 @@ def blocks(tops: list[Node], skip: frozenset[int]) -> list[str]:
 def main_text(page: Page, template: Template) -> tuple[str, int]:
     """The page's content and how many of its nodes are template."""
     skip = template.constant(page)
-    text = "\n".join(blocks(page.slots or [page.root], skip))
-    if page.slots and skip and 2 * len(text) < len(whole := "\n".join(blocks(page.slots, frozenset()))):
-        text = whole
-    return text, len(skip)
+    text = "\n".join(blocks(page.slots or [page.root], skip)) if skip else page.plain
+    return page.plain if page.slots and 2 * len(text) < len(page.plain) else text, len(skip)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long, template_nodes int"
 
 
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and template_nodes of each page.
 
     Large hosts are dealt out in parts, each with a template of its own.
@@ -275,37 +340,33 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     p = pages.select("page_id", "url", "html", host.alias("host"))
     counts = stored(p.groupBy("host").agg(F.count("*").alias("n")), "hosts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    part_pages = max(PART_PAGES, sample, -(-total // PARTS))
+    part_pages = max(PART_PAGES, -(-total // PARTS))
     hot = counts.filter(F.col("n") > part_pages).select(F.col("host").alias("__host"), F.expr(f"(n + {part_pages - 1}) div {part_pages}").alias("parts"))
     order = F.xxhash64("page_id", "html")
     p = p.join(F.broadcast(hot), F.col("host") == F.col("__host"), "left").withColumn("order", order)
     p = p.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.col("order"), "parts")).otherwise(F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, waiting, template = None, [], None
+        key, waiting, known = None, [], {}
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            done = [(i, u, *main_text(p, template)) for i, u, p in rows]
-            columns = list(zip(*((i, u, t, len(t), n) for i, u, t, n in done), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["page_id", "url", "text", "n_chars", "template_nodes"])
+        def out() -> Iterator[pa.RecordBatch]:
+            template = Template([*known.values()])
+            done = {k: main_text(p, template) for k, p in known.items()}
+            for at in range(0, len(waiting), 64):
+                columns = list(zip(*((i, u, done[k][0], len(done[k][0]), done[k][1]) for i, u, k in waiting[at : at + 64]), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["page_id", "url", "text", "n_chars", "template_nodes"])
 
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 rows = b.slice(at, 64)
                 for host, part, page_id, url, page in zip(*(rows.column(c).to_pylist() for c in ("host", "part", "page_id", "url", "html")), strict=True):
                     if (host, part) != key:
-                        if waiting:
-                            template = template or Template([p for _, _, p in waiting])
-                            yield out(waiting)
-                        key, waiting, template = (host, part), [], None
-                    waiting.append((page_id, url, Page(page)))
-                    if template is None and len(waiting) == sample:
-                        template = Template([p for _, _, p in waiting])
-                    if template is not None and len(waiting) >= 64:
-                        yield out(waiting)
-                        waiting = []
-        if waiting:
-            template = template or Template([p for _, _, p in waiting])
-            yield out(waiting)
+                        yield from out()
+                        key, waiting, known = (host, part), [], {}
+                    digest = hashlib.blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    if digest not in known:  # copies are parsed once
+                        known[digest] = Page(page)
+                    waiting.append((page_id, url, digest))
+        yield from out()
 
     return p.select("page_id", "url", "html", "host", "part", "order").repartition("host", "part").sortWithinPartitions("host", "part", "order").select("page_id", "url", "html", "host", "part").mapInArrow(run, SCHEMA)

@@ -74,3 +74,21 @@ def test_template_within_articles(spark):
     assert all(got[k].text == f"Title {k}\n" + " ".join([f"words of page {k}"] * 5) and got[k].template_nodes == 2 for k in range(6))
     rows = [(k, "http://h/x", page.format(k, "the same words " * 5), *["x"] * 5) for k in range(2)]
     assert all(r.text.startswith(f"Title {r.page_id}\nthe same words") and r.text.endswith("terms") for r in wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_copies_are_no_template(spark):
+    """Pages without marks that a host has twice or more keep their text, alone and among others."""
+    page = "<body><div>Our site</div><div><p>{0}</p><p>more of {0}</p></div></body>"
+    rows = [(k, "http://two/x", page.format("copy"), *["x"] * 5) for k in range(2)] + [(10 + k, "http://many/x", page.format("copy" if k < 30 else f"w{k}"), *["x"] * 5) for k in range(40)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == got[1] == "Our site\ncopy\nmore of copy"
+    assert all(got[10 + k] == "{0}\nmore of {0}".format("copy" if k < 30 else f"w{k}") for k in range(40))
+
+
+def test_template_nodes_may_be_absent_from_pages():
+    """What most pages have is template on these, whichever page comes first."""
+    htmls = [f"<body><div>Our site</div>{'' if k == absent else '<p>Old site closes soon</p>'}<div><p>w{k}</p></div>{'' if k == absent else '<span>All rights</span>'}</body>" for absent in (0, 3) for k in range(8)]
+    for part in (htmls[:8], htmls[8:]):
+        pages = [wrapper.Page(h) for h in part]
+        template = wrapper.Template(pages)
+        assert [wrapper.main_text(p, template)[0] for p in pages] == [f"w{k}" for k in range(8)]
