@@ -53,6 +53,8 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
     "sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations widget widgets skip search searchbar copyright".split()
 )
+#: What a name of several parts may have besides: "site-footer" is a footer, "has-sidebar" and "comments-open" are no sidebar and no comments.
+PLAIN = frozenset("main site page top bottom global primary secondary list box block area section container wrapper wrap inner outer bar buttons button links link item items posts post article entry widget text title form js".split())
 CONTENT = frozenset("content maincontent article post entry articlebody postcontent entrycontent story".split())
 
 
@@ -70,6 +72,10 @@ class Node:
             self.inner = [k for k in self.kids if isinstance(k, Node)]
         return self.inner
 
+    def named(self) -> list[set[str]]:
+        """The parts of each class and of the id."""
+        return [p for x in f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower().split() if (p := set(re.split(r"[^a-z0-9]+", x)) - {""})]
+
     def names(self) -> set[str]:
         return set(re.split(r"[^a-z0-9]+", f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower()))
 
@@ -127,41 +133,69 @@ def inside(node: Node, tags: frozenset[str]) -> bool:
 ARTICLE = frozenset(["article", "main"])
 
 
-def boilerplate(node: Node) -> bool:
-    """Whether the element is no article by what it says of itself."""
+def is_main(node: Node) -> bool:
+    return node.tag == "main" or node.attrs.get("role", "").lower() == "main"
+
+
+def is_article(node: Node) -> bool:
+    return node.tag == "article" or node.attrs.get("role", "").lower() == "article" or node.attrs.get("itemprop", "").lower() == "articlebody"
+
+
+def unwanted(node: Node) -> bool:
+    """Whether the element is no article by its tag, role or state."""
     a = node.attrs
     if node.tag in DROP or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or a.get("aria-modal"):
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    if node.tag == "header":  # an article's own header has its title
-        return not inside(node, ARTICLE)
-    if node.tag in ("body", "html", "main"):
+    return node.tag == "header" and not inside(node, ARTICLE)  # an article's own header has its title
+
+
+def misnamed(node: Node) -> list[bool]:
+    """Of each class and the id whether it, as a whole, names something that is no article."""
+    names = NAMES if inside(node, ARTICLE) else NAMES | {"header"}
+    return [bool(x & names) and x <= names | PLAIN for x in node.named()]
+
+
+def boilerplate(node: Node) -> bool:
+    """Whether the element is no article by what it says of itself. An article is none by its names if all say so, a main part never."""
+    if unwanted(node):
+        return True
+    if node.tag in ("body", "html", "header") or is_main(node) or not ("class" in node.attrs or "id" in node.attrs):
         return False
-    names = node.names()
-    return bool(names & NAMES) or ("header" in names and not inside(node, ARTICLE))
+    names = misnamed(node)
+    return bool(names) and (all if is_article(node) else any)(names)
 
 
-def walk(node: Node, test) -> Iterator[Node]:
-    """The outermost elements below node that pass the test, not entering boilerplate."""
+def walk(node: Node, test, skip=boilerplate) -> Iterator[Node]:
+    """The outermost elements below node that pass the test, not entering those to skip."""
     for k in node.elements():
-        if boilerplate(k):
+        if skip(k):
             continue
         if test(k):
             yield k
         else:
-            yield from walk(k, test)
+            yield from walk(k, test, skip)
 
 
 def marked(root: Node) -> list[Node]:
     """The elements that the page marks as its article or main part, if it does."""
-    is_main = lambda n: n.tag == "main" or n.attrs.get("role", "").lower() == "main"
-    is_article = lambda n: n.tag == "article" or n.attrs.get("role", "").lower() == "article" or n.attrs.get("itemprop", "").lower() == "articlebody"
-    mains = list(walk(root, is_main))
-    for top in (mains or [root]):
-        if found := list(walk(top, is_article)):
-            return found
-    return mains or list(walk(root, lambda n: n.tag in ("div", "section", "td") and bool(n.names() & CONTENT)))
+
+    def parts(skip) -> list[Node]:
+        mains = list(walk(root, is_main, skip))
+        for top in (mains or [root]):
+            if found := list(walk(top, is_article, skip)):
+                return found
+        return mains
+
+    if found := parts(boilerplate):
+        return found
+    found = list(walk(root, lambda n: n.tag in ("div", "section", "td") and bool(n.names() & CONTENT)))
+    # Articles below an element with some such name among others ("layout sidebar"), if they have more text than all else.
+    deep = parts(lambda n: unwanted(n) or (boilerplate(n) and (is_article(n) or all(misnamed(n)))))
+    if deep and sum(map(len, blocks(deep, frozenset()))) > sum(map(len, blocks(found or [root], frozenset()))):
+        return deep
+    return found
 
 
 def own(node: Node) -> tuple[str, ...]:

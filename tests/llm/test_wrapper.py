@@ -92,3 +92,11 @@ def test_template_nodes_may_be_absent_from_pages():
         pages = [wrapper.Page(h) for h in part]
         template = wrapper.Template(pages)
         assert [wrapper.main_text(p, template)[0] for p in pages] == [f"w{k}" for k in range(8)]
+
+
+def test_names_of_articles_and_what_holds_them():
+    """Whole names count, and neither an article nor what is around it is dropped for one name of several."""
+    for page in ('<article class="post comments-open"><p>Body</p></article>', '<div class="page has-sidebar"><article>Body</article></div>', '<div class="layout no-menu"><div class="post">Body</div></div>', '<article class="post comments">Body</article>', '<div role="main" class="widget">Body</div>', '<div class="layout sidebar"><article>Body text</article></div><p>rest</p>'):
+        assert text(f"<body>{page}<nav>n</nav></body>") in ("Body", "Body text"), page
+    for page in ('<div class="site-footer">x</div>', '<div class="main-nav">x</div>', '<article class="comment">x</article>', '<section id="comments"><article>xxxxxxxxx</article></section>', '<div class="box sidebar">x</div>'):
+        assert text(f"<body>{page}<p>Body</p></body>") == "Body", page
