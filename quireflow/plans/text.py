@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import scalars
 from quireflow.operators import chunk, diff, quality, review, score
-from quireflow.plans.registry import query, table
+from quireflow.plans.registry import ORACLES, query, table
 
 CHUNKS_SQL = """
 cut AS (
@@ -134,7 +134,16 @@ def review_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, len(a)::INT AS n_tokens, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS n_lost FROM e""")
 def token_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Protected tokens that texts lose when their digits go."""
-    d = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0)
+    return _preserved(table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0))
+
+
+@query(ORACLES["token_preservation"].replace(" WHERE doc_id % 2 = 0", ""))
+def token_preservation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_preservation over all documents."""
+    return _preserved(table(spark, sf_dir, "documents"))
+
+
+def _preserved(d: DataFrame) -> DataFrame:
     got = F.regexp_replace("text", r"\d", "")
     return d.select("doc_id", F.size(F.array_distinct(scalars.protected_tokens(F.col("text")))).alias("n_tokens"), F.size(review.lost_tokens(F.col("text"), got)).alias("n_lost"))
 
