@@ -70,8 +70,21 @@ def duplicate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context lines of documents that are one chunk, as far as there is room."""
     d = table(spark, sf_dir, "documents").filter(F.length("text") <= chunk.LIMIT)
-    c = chunk.with_context(d.select("doc_id", "text", F.array("lang", "source").alias("heading_path"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("section_element_id")))
-    return c.select("doc_id", "context_prefix", "context_truncated", "embedding_char_count")
+    return _in_context(d).select("doc_id", "context_prefix", "context_truncated", "embedding_char_count")
+
+
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, p AS (SELECT doc_id, chunk_index, chunks.text, '[heading_path: ' || lang || ' > ' || source || ']' AS a, '[section_element_id: doc-' || doc_id || ']' AS b FROM chunks JOIN documents USING (doc_id)),
+  q AS (SELECT *, length(a) + 2 + length(text) <= 2000 AS ok FROM p),
+  r AS (SELECT *, CASE WHEN ok AND length(a) + 1 + length(b) + 2 + length(text) <= 2000 THEN a || chr(10) || b WHEN ok THEN a WHEN length(b) + 2 + length(text) <= 2000 THEN b ELSE '' END AS kept FROM q)
+  SELECT doc_id, chunk_index::INT AS chunk_index, CASE WHEN kept = '' THEN '' ELSE kept || chr(10) || chr(10) END AS context_prefix, kept <> a || chr(10) || b AS context_truncated, (length(text) + CASE WHEN kept = '' THEN 0 ELSE length(kept) + 2 END)::INT AS embedding_char_count FROM r""")
+def context_prefixes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context lines of each chunk of every document."""
+    c = _in_context(_chunks(spark, sf_dir))
+    return c.select("doc_id", (F.col("no") + 1).alias("chunk_index"), "context_prefix", "context_truncated", "embedding_char_count")
+
+
+def _in_context(d: DataFrame) -> DataFrame:
+    return chunk.with_context(d.withColumns({"heading_path": F.array("lang", "source"), "section_element_id": F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))}))
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS u, 'turn-' || turn AS id, trim(text) AS text FROM conversations WHERE trim(text) <> ''),

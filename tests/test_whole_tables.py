@@ -19,3 +19,18 @@ def test_tokens_of_all_documents(spark):
     for i, d in docs.items():
         a, b = (re.findall(TOKEN, x, re.A) for x in (d.text, re.sub("[0-9]", "", d.text)))
         assert (got[i].n_tokens, got[i].n_lost) == (len(set(a)), len(set(a) - set(b)))
+
+
+def test_context_of_all_chunks(spark):
+    docs = documents(spark)
+    chunks = {(r.doc_id, r.chunk_index): r.text for r in catalog.queries()["doc_chunks"](spark, DATA).collect()}
+    rows = catalog.queries()["context_prefixes_all"](spark, DATA).collect()
+    assert {(r.doc_id, r.chunk_index) for r in rows} == set(chunks) and len(rows) == len(chunks) > len(docs)
+    for r in rows:
+        d, text, kept = docs[r.doc_id], chunks[r.doc_id, r.chunk_index], []
+        lines = [f"[heading_path: {d.lang} > {d.source}]", f"[section_element_id: doc-{d.doc_id}]"]
+        for line in lines:
+            if len("\n".join([*kept, line])) + 2 + len(text) <= 2000:
+                kept.append(line)
+        prefix = "\n".join(kept) + "\n\n" if kept else ""
+        assert (r.context_prefix, r.context_truncated, r.embedding_char_count) == (prefix, kept != lines, len(prefix + text))
