@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.functions import scalars
@@ -166,8 +166,18 @@ def _preserved(d: DataFrame) -> DataFrame:
   replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, regexp_replace(replace(substr(text, 1, 200), '|', '\|'), '\r\n|\r|\n', '<br>', 'g') AS pipe FROM documents""")
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters, predicates and escapes."""
-    t, head = F.col("text"), F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.majority_latin(t).alias("latin"), scalars.mojibake_count(t).alias("mojibake"), scalars.unsafe(t).alias("unsafe"), scalars.escape_html(head).alias("html"), scalars.escape_pipe(head).alias("pipe"))
+    return _flags(table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
+
+
+@query(ORACLES["text_flags"].replace("substr(text, 1, 200)", "text"))
+def text_flags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_flags with the escapes of whole texts."""
+    return _flags(table(spark, sf_dir, "documents"), F.col("text"))
+
+
+def _flags(d: DataFrame, escaped: Column) -> DataFrame:
+    t = F.col("text")
+    return d.select("doc_id", scalars.majority_latin(t).alias("latin"), scalars.mojibake_count(t).alias("mojibake"), scalars.unsafe(t).alias("unsafe"), scalars.escape_html(escaped).alias("html"), scalars.escape_pipe(escaped).alias("pipe"))
 
 
 @query("SELECT lang, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")

@@ -34,3 +34,12 @@ def test_context_of_all_chunks(spark):
                 kept.append(line)
         prefix = "\n".join(kept) + "\n\n" if kept else ""
         assert (r.context_prefix, r.context_truncated, r.embedding_char_count) == (prefix, kept != lines, len(prefix + text))
+
+
+def test_escapes_of_whole_texts(spark):
+    docs = documents(spark)
+    got = {r.doc_id: r for r in catalog.queries()["text_flags_all"](spark, DATA).collect()}
+    assert set(got) == set(docs) and max(len(d.text) for d in docs.values()) > 200
+    for i, d in docs.items():
+        assert got[i].html == d.text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        assert got[i].pipe == re.sub("\r\n|\r|\n", "<br>", d.text.replace("|", "\\|"))
