@@ -42,16 +42,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with text_hash, a hash of the text, if hashed."""
+    keys = ["doc_id", "text_hash"] if hashed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x.as_py()) for x in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(fp)], [*keys, "fp"])
 
-    d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).select(*keys, "text")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {'text_hash long, ' if hashed else ''}fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -145,11 +146,17 @@ def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def dedup(docs: DataFrame, bits: int = 2) -> DataFrame:
-    """docs, all columns: of each component the document with the least doc_id stays (one of rows that repeat it).
+    """docs, all columns: one row of each component stays, the one with the least doc_id, nulls last, then the least hash of its text.
 
-    Documents with a null doc_id stay only where their component has no others, and then one of them.
+    Different texts under one doc_id, or under none, stay if they are of different components.
     """
-    found = near_duplicates(docs, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    fp = stored(fingerprints(docs, hashed=True), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    unique = stored(fp.groupBy("fp").agg(first), "unique")
+    comp = components(links(unique, bits))
+    least = unique.join(comp, unique["fp"] == comp["node"], "left").groupBy(F.coalesce("comp", "fp").alias("comp")).agg(F.min("first").alias("first"))
+    found = least.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__found"))
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    kept = hashed.join(found, hashed["doc_id"].eqNullSafe(found["__id"]) & (hashed["__hash"] == found["__found"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("text"))
     return kept.withColumn("__first", first).filter("__first = 1").select(*docs.columns)

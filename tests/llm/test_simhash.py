@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quireflow.llm import common, simhash
 
+from conftest import sentence
+
 
 def brute_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -105,6 +107,20 @@ def test_dedup_keeps_one_of_each(odd):
     assert simhash.dedup(odd).columns == odd.columns
 
 
+def test_dedup_keeps_a_row_of_each_component(spark):
+    """Texts without doc_id, and different texts under one, are kept apart; copies of a kept document go."""
+    rows = [(None, sentence(k)) for k in range(10, 20) for _ in range(1 + k % 3)] + [(1, sentence(1)), (None, sentence(1)), (1, sentence(2)), (1, sentence(1)), (3, sentence(2)), (7, sentence(3)), (5, sentence(3)), (None, None), (None, " ")]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    groups = {}
+    for row, k in zip(rows, roots(fps), strict=True):
+        groups.setdefault(k, []).append(row)
+    want = [min((i is None, i or 0) for i, _ in g) for g in groups.values()]
+    got = simhash.dedup(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want) and len(got) == 14
+    at = {t: k for (_, t), k in zip(rows, roots(fps), strict=True)}
+    assert sorted(at[r.text] for r in got) == sorted(groups)
+
+
 def test_hot_keys_in_lookups(spark):
     left = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id")).alias("k"))
     right = left.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("v"))
