@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from quireflow.lineage import shared_dir, stored
 
-__all__ = ["components", "hot_keys", "lookup", "shared_dir", "stored"]
+__all__ = ["components", "free_name", "hot_keys", "lookup", "shared_dir", "stored"]
 
 #: A key that holds at least this share of the rows is hot, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 1000
 
 
+def free_name(name: str, *taken: str) -> str:
+    """name, with underscores after it until no column is called so (case does not count)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def hot_keys(counts: DataFrame, n: str = "n") -> DataFrame:
     """Rows of counts whose n is at least a thousandth of the sum of n, and over one: at most HOT_PARTS rows."""
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]

@@ -6,7 +6,9 @@ Every suffix of every benchmark item is binary-searched in every shard's array,
 matches of a window with their places, and by joining matches along a diagonal the longest ones.
 
 Defined results: null text has no words; null item_id counts as the empty string; rows with one item_id
-are one item; items without words match nothing; repeated documents get a row each; without items nothing is hit.
+are one item; items without words match nothing; repeated documents get a row each; without items nothing is hit;
+an empty table gives an empty result; of equally long matches the first in the text counts. A text is one shard at
+least, so a very long one costs memory in proportion to itself. Columns of any name pass through decontaminate() unchanged.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quireflow.llm.common import free_name, stored
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Benchmark text beyond this many bytes is searched in several blocks, so that what is broadcast stays bounded.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Words of training text in a shard, but for a longer document.
 SHARD_WORDS = 1 << 20
 
@@ -176,11 +180,17 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Que
         yield Queries([(r[0], r[1]) for r in own.collect()], window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, column: str = "__found") -> DataFrame:
-    """docs with a struct column of what scan_texts gives; docs has text. No shuffle, whatever the skew."""
-    out = docs
+def matches(docs: DataFrame, benchmark: DataFrame, column: str, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with a struct column of what scan_texts gives; docs has text. No shuffle, whatever the skew.
+
+    One block is broadcast at a time: what it gives is stored before it is destroyed and the next one is built.
+    """
+    out, last = docs, None
     for k, q in enumerate(_blocks(benchmark, window, block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(q))  # plain values: broadcasts are pickled by reference
+        if last is not None:
+            out = stored(out, "matches")
+            last.destroy()
+        last = shared = docs.sparkSession.sparkContext.broadcast(vars(q))  # plain values: broadcasts are pickled by reference
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, again=k > 0) -> Iterator[pa.RecordBatch]:
             q = Queries.__new__(Queries)
@@ -201,9 +211,9 @@ def _n_hit(found: F.Column) -> F.Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), longest_match, match_start, items."""
-    found = F.col("__found")
-    m = matches(docs.select("doc_id", "text"), benchmark, window, block_bytes)
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), longest_match, match_start, items."""
+    found = F.col("found")
+    m = matches(docs.select("doc_id", "text"), benchmark, "found", window, block_bytes)
     m = m.select("doc_id", found["n_words"].alias("n_words"), _n_hit(found).alias("n_hit"), found["items"].alias("items"), found["longest"].alias("longest_match"), found["at"].alias("match_start"))
     return m.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -212,6 +222,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs, all columns, without the contaminated ones."""
-    found, n_hit = F.col("__found"), _n_hit(F.col("__found"))
-    return matches(docs, benchmark, window, block_bytes).filter(~((n_hit > 0) & (share * n_hit >= found["n_words"]))).select(*docs.columns)
+    """docs, all columns, without the affected ones.
+
+    A document goes if it has a verbatim match of at least window words, however long it is, or if the words that
+    matches hit are at least one of share. Items shorter than the window fall under the share alone: a few common
+    words somewhere in a long text are no leak.
+    """
+    column = free_name("found", *docs.columns)
+    found = F.col(column)
+    n_hit = _n_hit(found)
+    affected = (found["longest"] >= window) | ((n_hit > 0) & (share * n_hit >= found["n_words"]))
+    return matches(docs, benchmark, column, window, block_bytes).filter(~affected).select(*docs.columns)

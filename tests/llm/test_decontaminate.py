@@ -30,6 +30,13 @@ ITEMS = [(1, sentence(1, 30)), (10, sentence(2, 14)), (2, "Three Word item"), (3
 BENCH = "item_id LONG, text STRING, doc_id STRING, spans STRING"
 
 
+def affected(text, items, window=13):
+    """Whether brute() finds a share of a twentieth, or a run of the window in any item."""
+    t = tokens(text)
+    runs = [tokens(x)[k : k + window] for _, x in items for k in range(len(tokens(x)) - window + 1)]
+    return brute(text, items)[4] or any(t[p : p + window] in runs for p in range(len(t) - window + 1))
+
+
 def texts():
     a, b = sentence(1, 30), sentence(2, 14)
     return [None, "", " . ", a, f"{sentence(8, 200)} {a.upper()} {sentence(9, 100)}", b.replace(" ", "--"), " ".join(b.split()[:12]), "three   word-item", "Solo", "x GRößE Über alles zusätzlich y", f"{a} {a} {b}", " ".join(a.split()[:13]) + " stop " + " ".join(a.split()[13:28]), sentence(3, 5000) + " " + b, "other text here solo"]
@@ -47,7 +54,18 @@ def test_against_brute_force(spark):
     assert got(decontaminate.contamination(docs, bench)) == want
     assert got(decontaminate.contamination(docs, bench, block_bytes=100)) == want  # in many blocks
     kept = decontaminate.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t in rows if not brute(t, ITEMS)[4])
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t in rows if not affected(t, ITEMS))
+    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(docs, bench, block_bytes=100).collect()) == sorted(str(r.doc_id) for r in kept.collect())
+    assert {r.found for r in kept.collect()} == {"x"}
+
+
+def test_whole_items_in_long_documents_are_removed(spark):
+    """An item, or a window of one, in a text of which it is less than a twentieth; short items may occur there."""
+    item = sentence(1, 30)
+    rows = [(1, f"{sentence(8, 900)} {item} {sentence(9, 900)}"), (2, f"{sentence(8, 900)} {' '.join(item.split()[9:22])} {sentence(9, 900)}"), (3, f"{sentence(8, 900)} {' '.join(item.split()[9:21])} {sentence(9, 900)}"), (4, f"{sentence(8, 900)} Three Word item"), (5, sentence(8, 900))]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    bench = spark.createDataFrame([(1, item, "", ""), (2, "three word item", "", "")], BENCH)
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4, 5]
 
 
 def test_longest_match(spark):

@@ -5,7 +5,7 @@ from quireflow.llm import decontaminate, langid, lines, mixing, simhash
 
 from conftest import sentence
 
-from test_decontaminate import brute as leaks
+from test_decontaminate import affected
 from test_lines import brute as line_brute
 from test_simhash import brute_fingerprint, roots
 
@@ -15,7 +15,7 @@ def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("tables")
     rows = [(k, "\n".join(sentence(k * 3 + j, 12) for j in range(3)), "en", f"s{k % 3}", 1, "x") for k in range(60)]
     bench = sentence(999, 20)
-    rows += [(100, rows[0][1], "en", "s0", 1, "x"), (101, rows[1][1] + "\n" + sentence(7777, 12), "en", "s1", 1, "x"), (102, bench, "en", "s2", 1, "x"), (103, None, None, None, None, None), (104, "12 34", "en", "s0", 1, "x"), (105, sentence(5, 12) + "\n" + bench, "en", "s1", 1, "x")]
+    rows += [(100, rows[0][1], "en", "s0", 1, "x"), (101, rows[1][1] + "\n" + sentence(7777, 12), "en", "s1", 1, "x"), (102, bench, "en", "s2", 1, "x"), (103, None, None, None, None, None), (104, "12 34", "en", "s0", 1, "x"), (105, sentence(5, 12) + "\n" + bench, "en", "s1", 1, "x"), (106, sentence(4321, 1200) + "\n" + bench + "\n" + sentence(1234, 200), "en", "s1", 1, "x")]
     spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, target STRING").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, bench)], "item_id LONG, text STRING").write.parquet(f"{at}/benchmark.parquet")
     return str(at)
@@ -40,7 +40,7 @@ def test_stage_by_stage(spark, folder):
             r = roots([brute_fingerprint(before[i]) for i in ids])
             assert set(after) == {ids[x] for x in r}
         elif k == 3:
-            assert set(after) == {i for i in before if not leaks(before[i], [(1, sentence(999, 20))])[4]}
+            assert set(after) == {i for i in before if not affected(before[i], [(1, sentence(999, 20))])}
         else:
             assert set(after) == {r.doc_id for r in mixing.mix(docs).filter("taken > 0").collect()}
         docs = out
