@@ -8,7 +8,8 @@ cross-entropy is nearer to what shuffled texts of its language have than to what
 
 Only text and non-null lang of documents whose crc32 of doc_id is not divisible by 5 are learnt from (a null doc_id counts as
 empty text, whose crc32 is 0). Defined results: null text, or one without letters, is `und` with score 0, and rejected; without any
-labelled document all are; equal texts get equal results; of equally good languages the first by code point wins.
+labelled document all are; an empty table gives an empty result; equal texts get equal results; of equally good languages
+the first by code point wins; very long texts are scored whole. Columns of any name pass through accepted() unchanged.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quireflow.llm.common import free_name
+
 ORDER = 4
 #: About so many labelled documents of a language, chosen by hash, are learnt from; a quarter of them calibrate.
 DOCS_PER_LANGUAGE = 1200
@@ -194,8 +197,10 @@ class Scorer:
                 first = np.zeros(len(u), np.int64)
                 first[back] = lost
                 value[lost] = log_probs(self.model, rows[first])[back]
-            sums = np.concatenate([np.zeros((1, width)), np.cumsum(value, axis=0, dtype=np.float64)])
-            total = sums[ends[1:]] - sums[ends[:-1] + np.minimum(n - 1, np.diff(ends))]
+            # Each text is summed by itself, in its own order, so that equal texts have equal sums wherever they stand.
+            value[(ends[:-1, None] + np.arange(n - 1)).ravel()] = 0
+            some = np.flatnonzero(np.diff(ends))
+            total[some] = np.add.reduceat(value.astype(np.float64), ends[some], axis=0)
         for x, t in zip(part, total, strict=True):
             yield len(x), (-t / len(x) if len(x) else t)
 
@@ -218,9 +223,9 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, docs_per_language: int) -> DataFrame:
     """text, lang and calibrate of about so many labelled documents of each language, chosen by hash of doc_id and text."""
     d = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rates = d.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count("*")).alias("rate")).withColumnRenamed("lang", "__lang")
+    rates = d.groupBy(F.col("lang").alias("rated")).agg((F.lit(float(docs_per_language)) / F.count("*")).alias("rate"))
     h = F.xxhash64("doc_id", F.length("text"))
-    d = d.join(F.broadcast(rates), F.col("lang") == F.col("__lang")).filter(F.pmod(h, F.lit(1 << 40)) / float(1 << 40) < F.col("rate"))
+    d = d.join(F.broadcast(rates), F.col("lang") == F.col("rated")).filter(F.pmod(h, F.lit(1 << 40)) / float(1 << 40) < F.col("rate"))
     return d.select("text", "lang", (F.pmod(F.shiftright(h, 42), F.lit(4)) == 0).alias("calibrate"))
 
 
@@ -283,7 +288,7 @@ def train(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER
     return calibrated(model, rows.filter("calibrate")) if model["names"] else model
 
 
-def identified(docs: DataFrame, model: dict, column: str = "__lang") -> DataFrame:
+def identified(docs: DataFrame, model: dict, column: str) -> DataFrame:
     """docs with a struct column of lang, score, rejected and cross_entropy; docs has text. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()), ("cross_entropy", pa.float64())])
@@ -301,11 +306,12 @@ def identified(docs: DataFrame, model: dict, column: str = "__lang") -> DataFram
 def predict(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred (a learnt language; und without letters), score, rejected, cross_entropy."""
     model = model or train(docs)
-    x = F.col("__lang")
-    d = identified(docs.select("doc_id", "text"), model)
+    x = F.col("found")
+    d = identified(docs.select("doc_id", "text"), model, "found")
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), x["lang"].alias("lang_pred"), x["score"].alias("score"), x["rejected"].alias("rejected"), x["cross_entropy"].alias("cross_entropy"))
 
 
 def accepted(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """docs, all columns, without those that are rejected."""
-    return identified(docs, model or train(docs)).filter(~F.col("__lang")["rejected"]).select(*docs.columns)
+    """docs, all columns whatever their names, without those that are rejected."""
+    column = free_name("found", *docs.columns)
+    return identified(docs, model or train(docs), column).filter(~F.col(column)["rejected"]).select(*docs.columns)
