@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from quireflow.llm.lines import MIN_CHARS
 from quireflow.llm.preferences import PARTS
-from quireflow.llm.secrets import BASE, MORE
 
 _BITS = "', '".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 WARC = f"""
@@ -83,12 +82,25 @@ def _spans(kind: str, regex: str, group: int, least: int, rank: int) -> str:
   WHERE length(g) >= {least}"""
 
 
-_ALL = "\nUNION ALL ".join(_spans(r.kind, r.regex, r.group, r.least, k) for k, r in enumerate(BASE + MORE))
-_COUNTS = ", ".join(f"count(*) FILTER (rank = {k})::BIGINT AS n_{r.kind}" for k, r in enumerate(BASE))
+#: The patterns as they are asked for, not the operator's own: kind, pattern, the group whose length counts, its least length.
+_BASE = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+)
+_MORE = (
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 0),
+)
+_ALL = "\nUNION ALL ".join(_spans(*r, k) for k, r in enumerate(_BASE + _MORE))
+_COUNTS = ", ".join(f"count(*) FILTER (rank = {k})::BIGINT AS n_{r[0]}" for k, r in enumerate(_BASE))
 SECRETS = f"""
 WITH s AS ({_ALL})
 SELECT doc_id, {_COUNTS},
-  sha256(coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}), '')) AS base_sha256,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < {len(_BASE)}), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank IS NOT NULL), '') AS spans
 FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id
 """

@@ -1,12 +1,16 @@
-"""Secret scans by a trigram index. DataFrame and SQL functions only.
+"""Secret scans by a trigram inverted index. DataFrame and SQL functions only.
 
 From each rule's regex a Boolean query of trigrams is derived: every match holds the trigrams of one of its
-alternatives. The index is split by document: each document has a posting bit for each trigram of any query, found in
-its lower-cased text. Queries intersect (AND) and unite (OR) the bits, the documents left over are verified with
-the regex itself. A rule without mandatory trigrams, such as a run of hex digits, scans all documents.
+alternatives. The index has a posting list for each of these trigrams and each range of texts (a range is a hash class of
+bounded size): the hashes of the texts that have the trigram, lower-cased. Queries intersect (AND) and unite (OR)
+the lists of a range; the texts left over are joined with the documents and verified with the regex itself. A rule without
+mandatory trigrams, such as a run of hex digits, scans all documents. Texts are known by their hash: copies are
+indexed once, and two texts of one hash only cost a verification more.
 
 Spans count code points, end exclusive. Defined results: null text is empty text, which has no spans; repeated rows
-get a row each; matches are leftmost and do not overlap within a kind, kinds may overlap each other.
+get a row each, and so do rows without doc_id; an empty table gives an empty result; very long texts are scanned whole;
+matches are leftmost and do not overlap within a kind, kinds may overlap each other, and spans of one start come in the
+order of the rules. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm.common import lookup, stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -48,6 +54,8 @@ MORE = (
 )
 #: Sets of more strings than this are not followed on.
 STRINGS = 64
+#: Trigrams of an alternative that are indexed, texts in a range of the index, candidates that are broadcast at most.
+TERMS, RANGE_TEXTS, BROADCAST_TEXTS = 2, 4096, 1 << 18
 #: Matches of a text whose places are summed up together.
 BLOCK = 256
 
@@ -139,33 +147,77 @@ def query(regex: str) -> Query:
     return q if strings is None else _of(strings)
 
 
-def _postings(names: list[str]) -> list[list[str]]:
-    """The trigrams dealt to words of 62 bits."""
-    return [names[k : k + 62] for k in range(0, len(names), 62)]
-
+def _rarity(t: str) -> tuple[int, str]:
+    """Trigrams with fewer of the letters that are common in prose come first."""
+    return sum(" etaoinsrhldcum".find(c) >= 0 for c in t), t
 
-def index(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with __postings, an array of longs: a bit for each trigram of the rules' queries."""
-    names = sorted({t for r in rules for x in query(r.regex) for t in x})
-    low = F.lower("text")
-    bits = [sum((F.when(F.contains(F.col("__low"), F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, t in enumerate(part)), F.lit(0).cast("long")) for part in _postings(names)]
-    return docs.withColumn("__low", low).withColumn("__postings", F.array(*bits)).drop("__low")
 
+def indexed(rules: tuple[Rule, ...]) -> dict[str, Query]:
+    """Each kind's alternatives, cut to the TERMS trigrams that tell most: those of other alternatives first, then the rarest.
 
-def candidate(rule: Rule, rules: tuple[Rule, ...] = BASE + MORE) -> Column:
-    """Whether the postings allow a match of the rule."""
-    names = sorted({t for r in rules for x in query(r.regex) for t in x})
-    out = F.lit(False)
-    for x in query(rule.regex):
-        one = F.lit(True)
-        for k, part in enumerate(_postings(names)):
-            mask = sum(1 << n for n, t in enumerate(part) if t in x)
-            if mask:
-                one = one & (F.col("__postings")[k].bitwiseAND(F.lit(mask)) == mask)
-        out = out | one
+    With fewer trigrams an alternative holds for more texts, never for fewer, so no match is lost.
+    """
+    chosen: set[str] = set()
+    out = {}
+    for r in rules:
+        cut: Query = frozenset()
+        for x in sorted(query(r.regex), key=sorted):
+            best = sorted(x, key=lambda t: (t not in chosen, *_rarity(t)))[:TERMS]
+            chosen |= set(best)
+            cut = _or(cut, frozenset({frozenset(best)}))
+        out[r.kind] = cut
     return out
 
 
+def postings(texts: DataFrame, queries: dict[str, Query], range_texts: int = RANGE_TEXTS) -> DataFrame:
+    """The inverted index of texts (h, text): a row (range, trigram, texts) for each trigram of the queries in each range of texts.
+
+    texts are the hashes of the range's texts that have the trigram, lower-cased, copies once: a list is bounded by the range.
+    """
+    names = sorted({t for q in queries.values() for x in q for t in x})
+    ranges = max(1, -(-texts.count() // range_texts))
+    has = F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in names)) if names else F.expr("cast(array() AS array<string>)")
+    each = texts.select("h", F.lower("text").alias("low")).select("h", F.explode(F.array_compact(has)).alias("trigram"))
+    return each.groupBy(F.pmod("h", F.lit(ranges)).alias("range"), "trigram").agg(F.collect_set("h").alias("texts"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...], queries: dict[str, Query]) -> DataFrame:
+    """(h, rules): texts that the postings allow a match, with a bit for each such rule. Lists of a range are intersected (AND) and united (OR) in its own row."""
+    lists = index.groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "texts"))).alias("lists"))
+    none = F.expr("cast(array() AS array<bigint>)")
+    found = []
+    for k, r in enumerate(rules):
+        if queries[r.kind] != TRUE:
+            either = none
+            for x in sorted(queries[r.kind], key=sorted):
+                both = None
+                for t in sorted(x):
+                    own = F.coalesce(F.try_element_at("lists", F.lit(t)), none)
+                    both = own if both is None else F.array_intersect(both, own)
+                either = F.array_union(either, both)
+            found.append(F.struct(F.lit(1 << k).cast("long").alias("rule"), either.alias("texts")))
+    if not found:
+        return index.select(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("rules")).limit(0)
+    each = lists.select(F.explode(F.array(*found)).alias("x")).select("x.rule", F.explode("x.texts").alias("h"))
+    return each.groupBy("h").agg(F.bit_or("rule").alias("rules"))
+
+
+def selected(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """doc_id, text and rules, the bits of the rules whose postings allow a match; rules without mandatory trigrams have no bit.
+
+    Candidates are broadcast up to BROADCAST_TEXTS (16 bytes each), beyond that documents and candidates meet in a shuffle join.
+    """
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    queries = indexed(rules)
+    some = stored(candidates(postings(d.select("h", "text"), queries), rules, queries), "candidates")
+    if some.count() <= BROADCAST_TEXTS:
+        out = d.join(F.broadcast(some), "h", "left")
+    else:
+        counted = d.select("h").join(some, "h").groupBy("h").agg(F.count("*").alias("n"), F.first("rules").alias("rules"))
+        out = lookup(d, stored(counted, "counted"), "h", F.col("doc_id"))
+    return out.select("doc_id", "text", F.coalesce("rules", F.lit(0).cast("long")).alias("rules"))
+
+
 def spans(rule: Rule, rank: int) -> Column:
     """The rule's matches in text: structs (start, rank, kind, end). Pieces between matches and matches by turns give the places.
 
@@ -191,8 +243,8 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     """doc_id, a count n_<kind> for each base rule, base_sha256 and spans (all kinds, kind:start:end in the order of start, then rule)."""
     rules = base + more
     empty = F.expr("cast(array() AS array<struct<start: int, rank: int, kind: string, end: int, size: int>>)")
-    d = index(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
-    parts = [F.when(candidate(r, rules), spans(r, k)).otherwise(empty) for k, r in enumerate(rules)]
+    d, everywhere = selected(docs, rules), {k for k, q in indexed(rules).items() if q == TRUE}
+    parts = [spans(r, k) if r.kind in everywhere else F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, spans(r, k)).otherwise(empty) for k, r in enumerate(rules)]
     d = d.select("doc_id", F.sort_array(F.concat(*parts)).alias("found"))
     d = d.withColumn("base", F.filter("found", lambda s: s["rank"] < len(base)))
     counts = [F.size(F.expr(f"filter(base, s -> s.rank = {k})")).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(base)]

@@ -3,6 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quireflow.llm import secrets
 
@@ -59,3 +60,28 @@ def test_every_match_meets_its_query(rule, data):
 def test_queries_of_other_regexes():
     for regex, text in (("ab(cd|ef)+gh", "abcdgh"), ("x?abc", "abc"), ("a.c", "abc"), ("(abc|de)", "de"), ("[ab]cd[ef]", "acdf"), ("(abc){2}", "abcabc"), ("^abc$", "abc")):
         assert any(x <= secrets.trigrams(text) for x in secrets.query(regex))
+
+
+def test_index_lists_and_queries(spark):
+    """Posting lists of many small ranges, and what they allow, against the texts themselves."""
+    rules = secrets.BASE + secrets.MORE
+    docs = spark.createDataFrame([(i, t or "") for i, t in enumerate(TEXTS * 2)], "doc_id LONG, text STRING").withColumn("h", F.xxhash64("text"))
+    texts = {r.h: r.text for r in docs.collect()}
+    queries = secrets.indexed(rules)
+    index = secrets.postings(docs.select("h", "text"), queries, 3)
+    ranges = -(-2 * len(TEXTS) // 3)
+    want = {(h % ranges, t, h) for h, x in texts.items() for q in queries.values() for a in q for t in a if t in x.lower()}
+    assert {(r["range"], r.trigram, h) for r in index.collect() for h in r.texts} == want
+    got = {r.h: r.rules for r in secrets.candidates(index, rules, queries).collect()}
+    for h, x in texts.items():
+        allowed = sum(1 << k for k, r in enumerate(rules) if queries[r.kind] != secrets.TRUE and any(all(t in x.lower() for t in a) for a in queries[r.kind]))
+        assert got.get(h, 0) == allowed
+    assert {k for k, q in queries.items() if q == secrets.TRUE} == {"hex"}
+
+
+def test_shuffle_join_of_candidates(spark, monkeypatch, odd, empty):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], "doc_id LONG, text STRING")
+    want = sorted(map(str, secrets.scan(docs).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST_TEXTS", 0)
+    assert sorted(map(str, secrets.scan(docs).collect())) == want
+    assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
