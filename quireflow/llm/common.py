@@ -52,12 +52,14 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b long): a row (node, comp) per node, comp the least node reachable.
 
     Labels sink to the least neighbour's label and then to that label's own label, until nothing changes.
-    Each round is written to the shared folder; a label that many nodes have is looked up by broadcast.
+    Each round is written to the shared folder; a node with many edges, or a label that many nodes have, is looked up by broadcast.
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp"), F.count("*").alias("degree")), "labels")
+    degrees = labels.select("node", "degree")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        known = labels.select(F.col("node").alias("b"), "comp").join(degrees.withColumnRenamed("node", "b"), "b")
+        near = lookup(both, known, "b", F.col("a"), "inner", "degree").groupBy("a").agg(F.min("comp").alias("near"))
         sunk = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was")), "sunk")
         sizes = sunk.groupBy(F.col("comp").alias("node")).agg(F.count("*").alias("n"))
         roots = sunk.join(sizes, "node").select(F.col("node").alias("comp"), F.col("comp").alias("up"), "n")

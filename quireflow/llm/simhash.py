@@ -5,7 +5,9 @@ segment differs in at most one: each segment is indexed under its 32 one-wildcar
 and the whole fingerprints are compared. Equal fingerprints are one node, so copies are never paired.
 
 Defined results: null and blank texts have no words and the fingerprint zero, which links like any other;
-repeated rows get a row each; component_id ignores null doc_ids and is null where there are no others.
+repeated rows get a row each; component_id ignores null doc_ids and is null where there are no others; an empty table
+gives an empty result; very long texts are hashed whole, in parts; dedup() breaks ties by doc_id, then by a hash of the
+text, and passes columns of any name through.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import components, lookup, stored
+from quireflow.llm.common import components, free_name, lookup, stored
 
-#: A bucket of more fingerprints than this is cut again, by the bits in which its fingerprints differ.
+#: In a task, a bucket of more fingerprints than this is cut again, by the bits in which its fingerprints differ.
 BUCKET = 512
+#: A bucket of more fingerprints than this is cut by the other segment before it goes to a task.
+HOT_BUCKET = 1 << 14
 SHINGLE, SEED = 3, 42
 
 
@@ -125,11 +129,27 @@ def bucket_links(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def cut(rows: DataFrame, bits: int, most: int = HOT_BUCKET) -> DataFrame:
+    """rows (key, fp) with the buckets of over most fingerprints cut into small ones: a fingerprint comes once for each of bits + 1 parts of the other segment.
+
+    Fingerprints of a bucket that differ in at most so many bits agree in one of the parts at least, so no link is lost.
+    """
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", "n", F.lit(True).alias("hot")), "hot")
+    if sizes.isEmpty():
+        return rows
+    marked = lookup(rows, sizes, "key", F.col("fp"))
+    other = F.when(F.shiftrightunsigned("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    width = -(-32 // (bits + 1))
+    parts = F.array(*(F.shiftrightunsigned(other, k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bits + 1)))
+    again = marked.filter("hot").select("key", "fp", F.posexplode(parts).alias("no", "part"))
+    return marked.filter("hot IS NULL").select("key", "fp").unionByName(again.select(F.xxhash64("key", "no", "part").alias("key"), "fp"))
+
+
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, whose components are those of all links of at most bits bits."""
     if not 0 <= bits <= 2:
         raise ValueError("two segments with one wildcard each find at most two differing bits")
-    return bucket_links(variants(fps.select("fp")), bits).distinct()
+    return bucket_links(cut(variants(fps.select("fp")), bits), bits).distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
@@ -155,8 +175,9 @@ def dedup(docs: DataFrame, bits: int = 2) -> DataFrame:
     unique = stored(fp.groupBy("fp").agg(first), "unique")
     comp = components(links(unique, bits))
     least = unique.join(comp, unique["fp"] == comp["node"], "left").groupBy(F.coalesce("comp", "fp").alias("comp")).agg(F.min("first").alias("first"))
-    found = least.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__found"))
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = hashed.join(found, hashed["doc_id"].eqNullSafe(found["__id"]) & (hashed["__hash"] == found["__found"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("text"))
-    return kept.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    own, rank, kept_id, kept_hash = (free_name(n, *docs.columns) for n in ("text_hash", "row_rank", "kept_id", "kept_hash"))
+    found = least.select(F.col("first.doc_id").alias(kept_id), F.col("first.text_hash").alias(kept_hash))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(found, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash)), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", own).orderBy("text"))
+    return kept.withColumn(rank, first).filter(F.col(rank) == 1).select(*docs.columns)
