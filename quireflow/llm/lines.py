@@ -9,7 +9,7 @@ the texts themselves have been compared. No pairs are made, so groups of any siz
 
 Defined results: null text stays null; blank lines always stay; a document whose lines all go has the empty text. Repeated
 rows (one doc_id) are one document, and all get the same result. Documents without doc_id have no place in the order: they
-stay as they are, and remove nothing.
+stay as they are, and remove nothing. An empty table gives an empty result; very long texts and lines are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import lookup, stored
+from quireflow.llm.common import free_name, lookup, stored
 
 #: Shorter lines are only removed if an earlier one is the same.
 MIN_CHARS = 20
@@ -185,26 +185,28 @@ def kept_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
 
 
 def dedup(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs, all columns, with text as left by line dedup, and n_chars, where there is one, to match."""
-    d = _rebuilt(docs, max_edits, min_chars)
-    columns = [F.col("__new").alias(c) if c == "text" else F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    """docs, all columns whatever their names, with text as left by line dedup, and n_chars, where there is one, to match."""
+    d, new, _, _ = _rebuilt(docs, max_edits, min_chars)
+    columns = [F.col(new).alias(c) if c == "text" else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return d.select(*columns)
 
 
-def _rebuilt(docs: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    kept = kept_lines(docs, max_edits, min_chars).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    lines = F.split("text", "\n")
-    known = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__id"), "left").withColumn("__lines", lines)
-    blank = F.expr(r"filter(transform(__lines, (l, i) -> CASE WHEN NOT l rlike '(?U)\\S' THEN i END), i -> i IS NOT NULL)")
-    stay = F.sort_array(F.concat(F.coalesce("__kept", F.expr("cast(array() AS array<int>)")), blank))
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
-    known = known.withColumn("__new", text).select(*docs.columns, "__new", F.size("__lines").alias("__n"), F.size(stay).alias("__stay"))
-    lost = docs.filter("doc_id IS NULL").select(*docs.columns, F.col("text").alias("__new"), F.size(lines).alias("__n"), F.size(lines).alias("__stay"))
-    return known.unionByName(lost)
+def _rebuilt(docs: DataFrame, max_edits: int, min_chars: int) -> tuple[DataFrame, str, str, str]:
+    """docs with the new text, the number of lines and the number that stay, and the names of these columns, which docs has not."""
+    key, kept, lines, new, n, stay = names = [free_name(x, *docs.columns) for x in ("kept_id", "kept", "lines", "new_text", "n_lines", "n_stay")]
+    found = kept_lines(docs, max_edits, min_chars).select(F.col("doc_id").alias(key), F.col("kept").alias(kept))
+    cut = F.split("text", "\n")
+    known = docs.filter("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col(key), "left").withColumn(lines, cut)
+    blank = F.expr(rf"filter(transform({lines}, (l, i) -> CASE WHEN NOT l rlike '(?U)\\S' THEN i END), i -> i IS NOT NULL)")
+    left = F.sort_array(F.concat(F.coalesce(kept, F.expr("cast(array() AS array<int>)")), blank))
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    known = known.withColumn(new, text).select(*docs.columns, new, F.size(lines).alias(n), F.size(left).alias(stay))
+    lost = docs.filter("doc_id IS NULL").select(*docs.columns, F.col("text").alias(new), F.size(cut).alias(n), F.size(cut).alias(stay))
+    return (known.unionByName(lost), *names[3:])
 
 
 def report(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, and text without the removed lines."""
-    d = _rebuilt(docs.select("doc_id", "text"), max_edits, min_chars)
-    zero = F.col("text").isNull()
-    return d.select("doc_id", F.when(zero, 0).otherwise(F.col("__n")).cast("long").alias("n_lines"), F.when(zero, 0).otherwise(F.col("__n") - F.col("__stay")).cast("long").alias("n_removed"), F.col("__new").alias("text"))
+    d, new, n, stay = _rebuilt(docs.select("doc_id", "text"), max_edits, min_chars)
+    none = F.col("text").isNull()
+    return d.select("doc_id", F.when(none, 0).otherwise(F.col(n)).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.col(n) - F.col(stay)).cast("long").alias("n_removed"), F.col(new).alias("text"))
