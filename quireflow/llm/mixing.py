@@ -3,12 +3,13 @@
 Each source is a stream of words: its documents in hashed order, repeated as often as its target asks. The stream is
 cut into blocks of block_words; the mix has an exact quota of blocks of each source. A tree halves the range of output
 shards again and again, and draws for each node how many blocks of each source go left, which is multivariate
-hypergeometric; so each shard has a quota of its own. Shards then take disjoint runs of the permuted blocks, and order
-their blocks by hash.
+hypergeometric; so each shard has a quota of its own. A keyed bijection permutes the numbers of a source's blocks; shards take
+disjoint runs of the permuted blocks, so that each draws from all passes through a source, and order their blocks by hash.
 
 Defined results: null text has size 0; a null source is a source of its own, the last; documents of size 0 are never
 taken; an empty table, or one without words, gives targets of 0; repeated rows are documents of their own. Rows are
-told apart by their place in the source's stream, so doc_id may be null or repeated.
+told apart by their place in the source's stream, so doc_id may be null or repeated. Ties in the hashed order are broken
+by doc_id and size; very long texts are counted whole and cut into blocks. The number of sources must fit in a task.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import stored
+from quireflow.llm.common import free_name, stored
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Words in a block, blocks in a shard, documents at most (about) in a bucket of the hashed order.
 BLOCK_WORDS, SHARD_BLOCKS, BUCKET_DOCS = 1024, 4096, 20_000
+#: Nodes of the tree above which they are dealt out, and tasks that they are dealt to at least.
+SPREAD = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,23 +79,43 @@ def _left(seed: int) -> str:
     return f"aggregate(sequence(1, size(q)), named_struct('blocks', aggregate(q, 0L, (s, v) -> s + v), 'draws', draws, 'out', cast(array() AS array<bigint>)), (a, i) -> {one}, a -> a.out)"
 
 
+def permuted(place: str, n: str, key: str) -> str:
+    """SQL for a bijection of [0, n) keyed by key, at place: rounds that shift the rows and columns of a grid of about n cells by hashes of each other.
+
+    The grid has less than a row too many. A place outside [0, n) goes on until it is back in, which it is after as many
+    steps as there are places outside, fewer than the root of n: 64 steps, each of which fails with the odds of one to that root.
+    """
+    wide = f"greatest(1L, cast(ceil(sqrt(cast({n} AS double))) AS bigint))"
+    half = lambda x, y, size: f"pmod(s.{x} + pmod(xxhash64({key}, r, s.{y}), {size}), {size})"
+    turn = f"CASE WHEN r % 2 = 1 THEN named_struct('x', {half('x', 'y', 'g.a')}, 'y', s.y) ELSE named_struct('x', s.x, 'y', {half('y', 'x', 'g.b')}) END"
+    once = f"aggregate(sequence(1, 8), named_struct('x', v div g.b, 'y', pmod(v, g.b)), (s, r) -> {turn}, s -> s.x * g.b + s.y)"
+    grid = f"transform(array({wide}), a -> named_struct('a', a, 'b', greatest(1L, cast(({n} + a - 1) div a AS bigint))))"
+    return f"transform({grid}, g -> aggregate(sequence(1, 64), {place}, (v, i) -> CASE WHEN i > 1 AND v < {n} THEN v ELSE {once} END))[0]"
+
+
 def shard_quotas(sources: DataFrame, block_words: int, shard_blocks: int, seed: int) -> tuple[DataFrame, int]:
-    """(shard, number, blocks, first): each shard's blocks of each source are [first, first + blocks); and the number of shards."""
+    """(shard, number, blocks, first, total): each shard's blocks of each source are those at the places [first, first + blocks) of total; and the number of shards.
+
+    The upper levels of the tree are one task's work; below SPREAD nodes, the subtrees are dealt out.
+    """
     blocks = F.expr(f"(quota + {block_words - 1}) div {block_words}")
     root = sources.select("number", blocks.alias("blocks")).agg(F.expr("transform(array_sort(collect_list(struct(number, blocks))), x -> x.blocks)").alias("q"))
     total = sources.agg(F.coalesce(F.sum(blocks), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_blocks))
     cap = lambda k: f"cast(floor({total}D * ({k}) / {shards}) AS bigint)"  # noqa: E731  blocks before shard k
     nodes = root.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "q")
-    for _ in range((shards - 1).bit_length()):
+    tasks = max(SPREAD, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for level in range((shards - 1).bit_length()):
+        if level == SPREAD.bit_length():
+            nodes = nodes.repartition(tasks, "lo")
         nodes = nodes.withColumn("mid", F.expr("(lo + hi) div 2")).withColumn("draws", F.expr(f"{cap('mid')} - {cap('lo')}"))
         nodes = nodes.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, F.expr(_left(seed))))
         right = "transform(q, (k, i) -> k - left[i])"
         halves = f"CASE WHEN hi - lo > 1 THEN array(named_struct('lo', lo, 'hi', mid, 'q', left), named_struct('lo', mid, 'hi', hi, 'q', {right})) ELSE array(named_struct('lo', lo, 'hi', hi, 'q', q)) END"
         nodes = nodes.select(F.explode(F.expr(halves)).alias("x")).select("x.*")
     leaves = nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("number", "blocks"))
-    before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return leaves.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), shards
+    before, whole = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("number")
+    return leaves.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))).withColumn("total", F.sum("blocks").over(whole)), shards
 
 
 def placed(docs: DataFrame, seed: int = 42, bucket_docs: int = BUCKET_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +139,9 @@ def pieces(documents: DataFrame, sources: DataFrame, block_words: int = BLOCK_WO
     """The mix: (shard, rank, doc_id, number, start, turn, word, words). Words [word, word + words) of a document, in the turn-th pass
     through its source; a shard's pieces are in the order of rank (its blocks by hash, then the words within)."""
     quotas, _ = shard_quotas(sources, block_words, shard_blocks, seed)
-    blocks = quotas.filter("blocks > 0").select("shard", "number", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"))
+    tasks = max(SPREAD, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    places = quotas.filter("blocks > 0").repartition(tasks, "shard", "number").select("shard", "number", "total", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("place"))
+    blocks = places.select("shard", "number", F.expr(permuted("place", "total", f"{seed}L, number")).alias("block"))
     turns = F.explode(F.sequence(F.lit(0), F.lit(CAP - 1))).alias("turn")
     p = documents.filter("size > 0").select("doc_id", "number", "start", "size", "quota", "source_size", turns)
     p = p.withColumn("from", F.col("start") + F.col("turn") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), "quota")).filter("from < to")
@@ -129,27 +154,33 @@ def pieces(documents: DataFrame, sources: DataFrame, block_words: int = BLOCK_WO
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 42, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, taken (the words of all its pieces) and pieces (how many)."""
+    """Per document: doc_id, size, source, source_size, target, taken (the words of all its pieces), pieces (how many) and the first and last shard that has one."""
     documents, sources = placed(docs, seed, bucket_docs)
     p = pieces(documents, sources, block_words, shard_blocks, seed)
-    taken = p.groupBy("number", "start").agg(F.sum("words").alias("taken"), F.count("*").alias("pieces"))
+    taken = p.groupBy("number", "start").agg(F.sum("words").alias("taken"), F.count("*").alias("pieces"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     own = F.when(F.col("size") > 0, F.col("start"))
     out = documents.withColumn("own", own).join(taken.withColumnRenamed("start", "own"), ["number", "own"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", "size", "source", "source_size", "target", zero("taken"), zero("pieces"))
+    return out.select("doc_id", "size", "source", "source_size", "target", zero("taken"), zero("pieces"), "first_shard", "last_shard")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs, all columns, with size, source_size, target and taken, of which the mix takes at least a word.
 
-    Rows with one doc_id, source and size have equal shares of what they are given together, so that they need no order.
+    Columns of docs that have one of these four names keep their values under that name and an underscore (or more, if
+    that is taken too). Rows with one doc_id, source and size have equal shares of what they are given together, so that they need no order.
     """
-    m = mix(docs).groupBy("doc_id", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("__taken"), F.count("*").alias("__n"))
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", F.expr("__taken div __n").alias("taken"))
-    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
-    d = docs.select(*own).withColumn("size", size(F.col("text")))
-    on = d["doc_id"].eqNullSafe(m["__id"]) & d["source"].eqNullSafe(m["__source"]) & (d["size"] == m["__size"])
-    return d.join(m.filter("taken > 0"), on).select(*[d[c] for c in own], d["size"], "source_size", "target", "taken")
+    given = ("size", "source_size", "target", "taken")
+    names, used = {}, [*docs.columns, *given]
+    for c in docs.columns:
+        names[c] = free_name(c, *used) if c.lower() in given else c
+        used.append(names[c])
+    m = mix(docs).groupBy("doc_id", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("sum"), F.count("*").alias("rows"))
+    m = m.select(F.struct(F.col("doc_id").alias("id"), "source", "size").alias("key"), F.struct("source_size", "target", F.expr("sum div rows").alias("taken")).alias("given")).filter("given.taken > 0")
+    d = docs.select(F.struct(*docs.columns).alias("own"), F.struct(F.col("doc_id").alias("id"), "source", size(F.col("text")).alias("size")).alias("key"))
+    on = [d["key"][c].eqNullSafe(m["key"][c]) for c in ("id", "source", "size")]
+    own = [F.col("own")[c].alias(n) for c, n in names.items()]
+    return d.join(m, on).select(*own, d["key"]["size"].alias("size"), *(F.col("given")[c].alias(c) for c in given[1:]))
 
 
 def mixed_text(docs: DataFrame, parts: DataFrame, documents: DataFrame) -> DataFrame:

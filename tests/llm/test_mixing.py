@@ -102,6 +102,26 @@ def test_draw_is_hypergeometric(spark):
     assert r[6] == r[7] == 40
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 12345])
+def test_permutation_is_a_bijection(spark, n):
+    x = spark.range(n).select(*(F.expr(mixing.permuted("id", f"{n}L", f"{k}L")).alias(f"p{k}") for k in (1, 2))).collect()
+    assert sorted(r.p1 for r in x) == sorted(r.p2 for r in x) == list(range(n))
+    if n >= 1000:
+        order = [r.p1 for r in x]
+        assert order != [r.p2 for r in x] and sum(abs(a - b) == 1 for a, b in zip(order, order[1:], strict=False)) < n / 20
+
+
+def test_shards_draw_from_all_passes(spark):
+    """A source taken three times over: its passes are spread over the shards, not one after the other."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "a").otherwise("b").alias("source"), F.repeat(F.lit("w "), 20).alias("text"))
+    placed, sources = mixing.placed(docs, bucket_docs=50)
+    p = mixing.pieces(placed, sources, 8, 64).filter("number = 0").groupBy("shard").agg(F.countDistinct("turn").alias("turns")).collect()
+    assert len(p) > 8 and sum(r.turns == 3 for r in p) > len(p) / 2
+
+
 def test_mixture_keeps_columns(odd):
+    """Columns of docs with the names of the result's own come back under other names, with their values."""
     m = mixing.mixed(odd)
-    assert set(odd.columns) - {"size", "taken", "target"} <= set(m.columns) and m.filter("taken <= 0").count() == 0
+    assert m.columns == [c + "_" if c in ("size", "taken", "target") else c for c in odd.columns] + ["size", "source_size", "target", "taken"]
+    rows = m.collect()
+    assert rows and all((r["size_"], r["target_"], r["taken_"]) == ("x", "x", 1) for r in rows) and all(r["taken"] > 0 for r in rows)
