@@ -11,6 +11,8 @@ __all__ = ["components", "free_name", "hot_keys", "lookup", "shared_dir", "store
 
 #: A key that holds at least this share of the rows is hot, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 1000
+#: A node with so many edges is a hub.
+HUB = 10_000
 
 
 def free_name(name: str, *taken: str) -> str:
@@ -57,9 +59,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp"), F.count("*").alias("degree")), "labels")
     degrees = labels.select("node", "degree")
+    hubs = not labels.filter(F.col("degree") >= HUB).isEmpty()
     while True:
-        known = labels.select(F.col("node").alias("b"), "comp").join(degrees.withColumnRenamed("node", "b"), "b")
-        near = lookup(both, known, "b", F.col("a"), "inner", "degree").groupBy("a").agg(F.min("comp").alias("near"))
+        known = labels.select(F.col("node").alias("b"), "comp")
+        met = lookup(both, known.join(degrees.withColumnRenamed("node", "b"), "b"), "b", F.col("a"), "inner", "degree") if hubs else both.join(known, "b")
+        near = met.groupBy("a").agg(F.min("comp").alias("near"))
         sunk = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was")), "sunk")
         sizes = sunk.groupBy(F.col("comp").alias("node")).agg(F.count("*").alias("n"))
         roots = sunk.join(sizes, "node").select(F.col("node").alias("comp"), F.col("comp").alias("up"), "n")

@@ -59,14 +59,23 @@ def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {'text_hash long, ' if hashed else ''}fp long")
 
 
+def segments(fps: DataFrame) -> DataFrame:
+    """fp, side (0: the low 32 bits, 1: the high ones), segment: a row for each half of each fingerprint."""
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    return fps.select("fp", F.posexplode(F.array(low, high)).alias("side", "segment"))
+
+
+def wildcards(rows: DataFrame) -> DataFrame:
+    """rows with key instead of side and segment: a row for each of the 32 variants of the segment that leave out one bit."""
+    rest = [c for c in rows.columns if c not in ("side", "segment")]
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
+    number = F.shiftleft((F.col("side") * 32 + F.col("bit")).cast("long"), 32)
+    return each.select(number.bitwiseOR(F.col("segment").bitwiseAND(F.expr("~shiftleft(1L, bit)"))).alias("key"), *rest)
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """key, fp: each fingerprint under the one-wildcard variants of its two segments (2 x 32 keys)."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    each = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w")
-    part = fps.select("fp", low.alias("low"), high.alias("high"), each)
-    segment = F.when(F.col("w") < 32, F.col("low")).otherwise(F.col("high"))
-    return part.select((F.shiftleft(F.col("w").cast("long"), 32).bitwiseOR(segment.bitwiseAND(F.expr("~shiftleft(1L, w % 32)")))).alias("key"), "fp")
+    return wildcards(segments(fps))
 
 
 def forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -129,15 +138,18 @@ def bucket_links(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def cut(rows: DataFrame, bits: int, most: int = HOT_BUCKET) -> DataFrame:
-    """rows (key, fp) with the buckets of over most fingerprints cut into small ones: a fingerprint comes once for each of bits + 1 parts of the other segment.
+def cut(fps: DataFrame, bits: int, most: int = HOT_BUCKET) -> DataFrame:
+    """variants(fps), but of buckets of over most fingerprints each comes once for each of bits + 1 parts of the other segment.
 
     Fingerprints of a bucket that differ in at most so many bits agree in one of the parts at least, so no link is lost.
+    A bucket has the fingerprints of two segments, so only those with a segment that over half as many have need be counted.
     """
-    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", "n", F.lit(True).alias("hot")), "hot")
-    if sizes.isEmpty():
+    rows = variants(fps)
+    common = stored(segments(fps).groupBy("side", "segment").agg(F.count("*").alias("n")).filter(F.col("n") > most // 2), "common")
+    if common.isEmpty():
         return rows
-    marked = lookup(rows, sizes, "key", F.col("fp"))
+    sizes = wildcards(common).groupBy("key").agg(F.sum("n").alias("n"), F.lit(True).alias("hot"))
+    marked = lookup(rows, stored(sizes, "hot"), "key", F.col("fp"))
     other = F.when(F.shiftrightunsigned("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     width = -(-32 // (bits + 1))
     parts = F.array(*(F.shiftrightunsigned(other, k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bits + 1)))
@@ -149,7 +161,7 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, whose components are those of all links of at most bits bits."""
     if not 0 <= bits <= 2:
         raise ValueError("two segments with one wildcard each find at most two differing bits")
-    return bucket_links(cut(variants(fps.select("fp")), bits), bits).distinct()
+    return bucket_links(cut(fps.select("fp"), bits), bits).distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
