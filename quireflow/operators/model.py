@@ -35,24 +35,42 @@ def with_children(elements: DataFrame) -> DataFrame:
     return elements.join(kids, ["doc_id", "id"], "left").withColumn("child_ids", F.coalesce("child_ids", F.expr("cast(array() AS array<string>)")))
 
 
-def closure(elements: DataFrame, levels: int = 64) -> DataFrame:
-    """(doc_id, id, ancestor_id, distance): every element's ancestors, nearest at distance 1.
+def parents(elements: DataFrame) -> DataFrame:
+    """(doc_id, id, ancestor_id): the elements whose parent exists. Of an id that several elements have, the least parent counts."""
+    up = elements.filter(F.col("parent_id").isNotNull()).groupBy("doc_id", "id").agg(F.min("parent_id").alias("ancestor_id"))
+    return up.join(elements.select("doc_id", F.col("id").alias("ancestor_id")), ["doc_id", "ancestor_id"], "left_semi").select("doc_id", "id", "ancestor_id")
 
-    Path lengths double: with ancestors up to 2^k known, those up to 2^(k+1) come of one join, so depth d takes log2(d) joins
-    and no level-by-level recursion limit. An element on a cycle meets itself and goes no further; levels bounds the depth.
+
+def closure(elements: DataFrame) -> DataFrame:
+    """(doc_id, id, ancestor_id, distance): every element's ancestors, nearest at distance 1, however deep the tree.
+
+    Path lengths double: with ancestors up to 2^k known, those up to 2^(k+1) come of one join, so depth d takes log2(d) joins.
+    Elements on a cycle have no ancestors, those below one have the ancestors up to its first element: if an element
+    meets itself, which is seen as soon as the paths are as long as the cycle, the cycle's links are taken out and the work begins anew.
     """
-    up = elements.select("doc_id", "id", F.col("parent_id").alias("ancestor_id")).join(elements.select("doc_id", F.col("id").alias("ancestor_id")), ["doc_id", "ancestor_id"], "left_semi")
+    up = parents(elements)
+    try_ = _closure(up)
+    if try_ is None:
+        try_ = _closure(up.join(on_cycles(elements), ["doc_id", "id"], "left_anti"))
+    return try_
+
+
+def _closure(up: DataFrame) -> DataFrame | None:
     known = stored(up.withColumn("distance", F.lit(1)), "ancestors")
+    own = F.col("id") == F.col("ancestor_id")
+    if not known.filter(own).isEmpty():
+        return None
     reach = 1
-    while reach < levels:
+    while True:
         far = known.filter(F.col("distance") == reach).select("doc_id", "id", F.col("ancestor_id").alias("mid"))
         more = far.join(known.select("doc_id", F.col("id").alias("mid"), "ancestor_id", "distance"), ["doc_id", "mid"]).select("doc_id", "id", "ancestor_id", (F.col("distance") + reach).alias("distance"))
-        more = stored(more.filter(F.col("id") != F.col("ancestor_id")), "ancestors")  # read twice by the next round
+        more = stored(more, "ancestors")  # read twice by the next round
         if more.isEmpty():
             return known
+        if not more.filter(own).isEmpty():
+            return None
         known = known.unionByName(more)
         reach *= 2
-    return known
 
 
 def label(kind: Column, content: Column, place: Column) -> Column:
@@ -61,42 +79,52 @@ def label(kind: Column, content: Column, place: Column) -> Column:
     return F.when(kind == "sheet", F.concat(F.lit("Sheet: "), place)).when(kind == "page", F.concat(F.lit("Page "), place)).when(kind == "slide", F.concat(F.lit("Slide "), place)).when(kind == "heading", F.nullif(F.regexp_replace(content, r"\A[# ]+", ""), F.lit("")))
 
 
-def heading_paths(elements: DataFrame, levels: int = 64, place: str = "place") -> DataFrame:
-    """(doc_id, id, heading_path): labels of the ancestors, outermost first."""
-    up = closure(elements, levels)
+def heading_paths(elements: DataFrame, place: str = "place", up: DataFrame | None = None) -> DataFrame:
+    """(doc_id, id, heading_path): labels of the ancestors, outermost first. up is closure(elements), where it is at hand."""
     labels = elements.select("doc_id", F.col("id").alias("ancestor_id"), label(F.col("type"), F.col("content"), F.col(place)).alias("label")).filter("label IS NOT NULL")
-    path = up.join(labels, ["doc_id", "ancestor_id"]).groupBy("doc_id", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "label")), asc=False), lambda x: x["label"]).alias("heading_path"))
+    labelled = (up or closure(elements)).join(labels, ["doc_id", "ancestor_id"])
+    path = labelled.groupBy("doc_id", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "label")), asc=False), lambda x: x["label"]).alias("heading_path"))
     return elements.select("doc_id", "id").join(path, ["doc_id", "id"], "left").withColumn("heading_path", F.coalesce("heading_path", F.expr("cast(array() AS array<string>)")))
 
 
-def nearest(elements: DataFrame, kinds: tuple[str, ...], levels: int = 64) -> DataFrame:
+def nearest(elements: DataFrame, kinds: tuple[str, ...], up: DataFrame | None = None) -> DataFrame:
     """(doc_id, id, nearest_id): the nearest ancestor of one of the kinds."""
     wanted = elements.filter(F.col("type").isin(*kinds)).select("doc_id", F.col("id").alias("ancestor_id"))
-    near = closure(elements, levels).join(wanted, ["doc_id", "ancestor_id"]).groupBy("doc_id", "id").agg(F.min_by("ancestor_id", "distance").alias("nearest_id"))
+    near = (up or closure(elements)).join(wanted, ["doc_id", "ancestor_id"]).groupBy("doc_id", "id").agg(F.min_by("ancestor_id", "distance").alias("nearest_id"))
     return elements.select("doc_id", "id").join(near, ["doc_id", "id"], "left")
 
 
-def inherited(elements: DataFrame, column: str, levels: int = 64) -> DataFrame:
+def inherited(elements: DataFrame, column: str, up: DataFrame | None = None) -> DataFrame:
     """(doc_id, id, column): the element's own value, or that of the nearest ancestor that has one."""
     has = elements.filter(F.col(column).isNotNull())
     own = has.select("doc_id", "id", F.lit(0).alias("distance"), column)
-    up = closure(elements, levels).join(has.select("doc_id", F.col("id").alias("ancestor_id"), column), ["doc_id", "ancestor_id"]).select("doc_id", "id", "distance", column)
-    return elements.select("doc_id", "id").join(own.unionByName(up).groupBy("doc_id", "id").agg(F.min_by(column, "distance").alias(column)), ["doc_id", "id"], "left")
+    above = (up or closure(elements)).join(has.select("doc_id", F.col("id").alias("ancestor_id"), column), ["doc_id", "ancestor_id"]).select("doc_id", "id", "distance", column)
+    return elements.select("doc_id", "id").join(own.unionByName(above).groupBy("doc_id", "id").agg(F.min_by(column, "distance").alias(column)), ["doc_id", "id"], "left")
 
 
-def unreachable(elements: DataFrame, levels: int = 64) -> DataFrame:
+def unreachable(elements: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """Elements with no path to their document's root."""
-    rooted = closure(elements, levels).filter(F.col("ancestor_id") == ROOT).select("doc_id", "id").distinct()
+    rooted = (up or closure(elements)).filter(F.col("ancestor_id") == ROOT).select("doc_id", "id").distinct()
     return elements.filter(F.col("id") != ROOT).select("doc_id", "id").join(rooted, ["doc_id", "id"], "left_anti")
 
 
-def on_cycles(elements: DataFrame, rounds: int = 32) -> DataFrame:
-    """Elements from which no parentless element is reached: on a cycle, or below one. Pointers are doubled, not followed one by one."""
-    at = elements.select("doc_id", "id", F.col("parent_id").alias("to")).join(elements.select("doc_id", F.col("id").alias("to")), ["doc_id", "to"], "left_semi")
-    for _ in range(max(1, (rounds - 1).bit_length() + 1)):
-        at = stored(at, "pointers")
-        at = at.alias("x").join(at.select("doc_id", F.col("id").alias("to"), F.col("to").alias("next")).alias("y"), ["doc_id", "to"]).select("doc_id", "id", F.col("next").alias("to"))
-    return at.select("doc_id", "id")
+def on_cycles(elements: DataFrame) -> DataFrame:
+    """(doc_id, id) of the elements that are on a cycle; those that only lead to one are not.
+
+    Pointers double until no element runs out of parents any more (all that are left lead to a cycle) and the elements
+    pointed at stay the same number: these then are the cycles, as a step from them leads to all of them again.
+    """
+    at = stored(parents(elements).withColumnRenamed("ancestor_id", "to"), "pointers")
+    count = lambda df: (df.count(), df.select("doc_id", "to").distinct().count())
+    before = count(at)
+    while before[0]:
+        next_ = at.select("doc_id", F.col("id").alias("to"), F.col("to").alias("next"))
+        at = stored(at.join(next_, ["doc_id", "to"]).select("doc_id", "id", F.col("next").alias("to")), "pointers")
+        now = count(at)
+        if now == before:
+            break
+        before = now
+    return at.select("doc_id", F.col("to").alias("id")).distinct()
 
 
 def ordered_unique(c: Column) -> Column:

@@ -32,7 +32,7 @@ def missing(refs: DataFrame, known: DataFrame, ref: str, column: str, code: str)
     return issue(refs.filter(F.col(ref).isNotNull()).join(k, (F.col("doc_id") == F.col("__d")) & (F.col(ref) == F.col("__k")), "left_anti"), code, ref)
 
 
-def element_issues(elements: DataFrame, levels: int = 64) -> DataFrame:
+def element_issues(elements: DataFrame) -> DataFrame:
     """Ids, root, parents, reachability and cycles."""
     roots = elements.filter(F.col("id") == model.ROOT)
     docs = elements.select("doc_id").distinct()
@@ -42,8 +42,8 @@ def element_issues(elements: DataFrame, levels: int = 64) -> DataFrame:
         issue(roots.filter((F.col("type") != "document") | F.col("parent_id").isNotNull()), "ROOT_INVALID"),
         issue(elements.filter((F.col("id") != model.ROOT) & F.col("parent_id").isNull()), "PARENT_MISSING"),
         missing(elements, elements, "parent_id", "id", "PARENT_UNKNOWN"),
-        issue(model.unreachable(elements, levels), "ELEMENT_UNREACHABLE"),
-        issue(model.on_cycles(elements, levels), "ELEMENT_CYCLE"),
+        issue(model.unreachable(elements), "ELEMENT_UNREACHABLE"),
+        issue(model.on_cycles(elements), "ELEMENT_CYCLE"),
     )
 
 
@@ -144,6 +144,30 @@ def artifact_issues(artifacts: DataFrame, required: tuple[str, ...] = ("document
     return issue(wanted.join(artifacts.select("doc_id", "name"), ["doc_id", "name"], "left_anti"), "ARTIFACT_MISSING", "name")
 
 
+def html_metric_issues(metrics: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """A page's counts against its tables and cells (table_id; rowspan, colspan): metrics has table_count, merged_anchor_count, canonical_tables, canonical_merges and grid_cells."""
+    t = tables.groupBy("doc_id").agg(F.count("*").alias("tables"), F.sum(F.col("n_rows").cast("long") * F.col("n_columns")).alias("grid"))
+    c = cells.groupBy("doc_id").agg(F.sum(((F.col("rowspan") > 1) | (F.col("colspan") > 1)).cast("long")).alias("merges"))
+    j = metrics.join(t, "doc_id", "left").join(c, "doc_id", "left").na.fill(0, ["tables", "grid", "merges"])
+    differ = lambda a, b, code: F.when(~F.coalesce(F.col(a), F.lit(0)).eqNullSafe(F.coalesce(F.col(b), F.lit(0))), F.lit(code))
+    codes = F.array(
+        differ("canonical_tables", "tables", "HTML_TABLE_COUNT_MISMATCH"), differ("table_count", "canonical_tables", "HTML_TABLE_COUNT_MISMATCH"), differ("canonical_merges", "merges", "HTML_MERGE_COUNT_MISMATCH"),
+        differ("merged_anchor_count", "canonical_merges", "HTML_MERGE_COUNT_MISMATCH"), differ("grid_cells", "grid", "HTML_METRICS_MISMATCH"),
+    )
+    return j.select("doc_id", F.explode(F.array_distinct(F.array_compact(codes))).alias("code"), F.col("doc_id").cast("string").alias("subject"))
+
+
+def ocr_metric_issues(assessment: DataFrame, tables: DataFrame) -> DataFrame:
+    """Counts of table candidates against each other, and the accepted ones against the tables whose origin they are."""
+    real = tables.filter(F.col("origin") == "ocr_table_candidate").groupBy("doc_id").agg(F.count("*").alias("accepted_tables"))
+    j = assessment.join(real, "doc_id", "left").na.fill(0, ["accepted_tables"])
+    counts = ("candidate_count", "accepted_count", "rejected_count", "fallback_to_text_count", "low_confidence_count")
+    odd = F.greatest(*(F.coalesce(F.col(c) < 0, F.lit(True)) for c in counts))
+    wrong = odd | (F.col("candidate_count") != F.col("accepted_count") + F.col("rejected_count")) | (F.col("fallback_to_text_count") > F.col("rejected_count"))
+    codes = F.array(F.when(F.coalesce(wrong, F.lit(True)), F.lit("OCR_TABLE_METRICS_MISMATCH")), F.when(~odd & (F.col("accepted_tables") != F.col("accepted_count")), F.lit("OCR_TABLE_ACCEPTED_COUNT_MISMATCH")))
+    return j.select("doc_id", F.explode(F.array_compact(codes)).alias("code"), F.col("doc_id").cast("string").alias("subject"))
+
+
 def context_issues(chunks: DataFrame, limit: int = 2000) -> DataFrame:
     """Context prefix, embedding text and their counts against each other, and against the prefix derived anew."""
     from quireflow.operators.chunk import with_context

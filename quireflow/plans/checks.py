@@ -27,9 +27,10 @@ def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT n_regionkey AS doc_id, c_custkey AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)
-  SELECT doc_id, 'PARENT_UNKNOWN' AS code, 'nowhere' AS subject FROM c WHERE k % 50 = 0 UNION ALL SELECT doc_id, 'ELEMENT_UNREACHABLE', 'c' || k FROM c WHERE k % 50 = 0 OR k % 77 = 0 UNION ALL SELECT doc_id, 'ELEMENT_CYCLE', 'c' || k FROM c WHERE k % 77 = 0 AND k % 50 <> 0""")
+  SELECT doc_id, 'PARENT_UNKNOWN' AS code, 'nowhere' AS subject FROM c WHERE k % 50 = 0 UNION ALL SELECT doc_id, 'ELEMENT_UNREACHABLE', 'c' || k FROM c WHERE k % 50 = 0 OR k % 77 = 0 UNION ALL SELECT doc_id, 'ELEMENT_CYCLE', 'c' || k FROM c WHERE k % 77 = 0 AND k % 50 <> 0
+  UNION ALL SELECT r_regionkey, 'ELEMENT_CYCLE', unnest(['x1', 'x2', 'x3']) FROM region UNION ALL SELECT r_regionkey, 'ELEMENT_UNREACHABLE', unnest(['x1', 'x2', 'x3', 'y1', 'y2']) FROM region""")
 def element_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.element_issues(geography(spark, sf_dir, broken=True), 8)
+    return validate.element_issues(geography(spark, sf_dir, broken=True))
 
 
 _EDGES = """e AS (SELECT l_orderkey AS doc_id, 'e' || l_linenumber AS src, 'caption_of' AS rel, 'e' || (l_linenumber + l_partkey % 2) AS dst FROM lineitem UNION ALL

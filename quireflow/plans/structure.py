@@ -11,7 +11,10 @@ from quireflow.plans.registry import query, table
 
 
 def geography(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
-    """Regions as headings, nations as sheets, customers as paragraphs, below a root per region. broken sends some customers astray."""
+    """Regions as headings, nations as sheets, customers as paragraphs, below a root per region.
+
+    broken sends some customers astray, and gives each region a chain of 150, and a ring of three with a tail of two.
+    """
     r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     null = F.lit(None).cast("string")
     ids = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
@@ -21,40 +24,48 @@ def geography(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFra
     if broken:
         up = F.when(F.col("c_custkey") % 50 == 0, "nowhere").when(F.col("c_custkey") % 77 == 0, ids("c", "c_custkey")).otherwise(up)
     customers = c.join(F.broadcast(n.select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc_id"), ids("c", "c_custkey").alias("id"), up.alias("parent_id"), (F.col("c_custkey") + 100).cast("int").alias("ordinal"), F.lit("paragraph").alias("type"), F.col("c_name").alias("content"), null.alias("place"))
-    return model.with_roots(regions.unionByName(nations).unionByName(customers))
+    every = regions.unionByName(nations).unionByName(customers)
+    if broken:
+        odd = [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y1", "x1"), ("y2", "y1"), *((f"d{k}", f"d{k - 1}" if k > 1 else model.ROOT) for k in range(1, 151))]
+        links = ", ".join(f"struct('{a}' AS id, '{b}' AS parent_id)" for a, b in odd)
+        more = r.select(F.col("r_regionkey").alias("doc_id"), F.posexplode(F.expr(f"array({links})")).alias("no", "e"))
+        every = every.unionByName(more.select("doc_id", "e.id", "e.parent_id", (F.col("no") + 1000).alias("ordinal"), F.lit("paragraph").alias("type"), F.lit("x").alias("content"), null.alias("place")))
+    return model.with_roots(every)
 
 
 @query("""SELECT n_regionkey AS doc_id, 'c' || c_custkey AS id, r_name || ' > Sheet: ' || n_name AS heading_path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT n_regionkey, 'n' || n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, 'r' || r_regionkey, '' FROM region UNION ALL SELECT r_regionkey, 'document-root', '' FROM region""")
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.heading_paths(geography(spark, sf_dir), 8).select("doc_id", "id", F.array_join("heading_path", " > ").alias("heading_path"))
+    return model.heading_paths(geography(spark, sf_dir)).select("doc_id", "id", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
 @query("""SELECT n_regionkey AS doc_id, 'c' || c_custkey AS id, 'r' || n_regionkey AS nearest_id FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'r' || n_regionkey FROM nation
   UNION ALL SELECT r_regionkey, 'r' || r_regionkey, NULL FROM region UNION ALL SELECT r_regionkey, 'document-root', NULL FROM region""")
 def nearest_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.nearest(geography(spark, sf_dir), ("heading",), 8)
+    return model.nearest(geography(spark, sf_dir), ("heading",))
 
 
 @query("""SELECT n_regionkey AS doc_id, 'c' || c_custkey AS id, n_name AS place FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, 'n' || n_nationkey, n_name FROM nation
   UNION ALL SELECT r_regionkey, 'r' || r_regionkey, NULL FROM region UNION ALL SELECT r_regionkey, 'document-root', NULL FROM region""")
 def inherited_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.inherited(geography(spark, sf_dir), "place", 8)
+    return model.inherited(geography(spark, sf_dir), "place")
 
 
 @query("""SELECT id, count(*)::BIGINT AS n_ancestors FROM (SELECT 'c' || c_custkey AS id, unnest(range(3)) FROM customer UNION ALL SELECT 'n' || n_nationkey, unnest(range(2)) FROM nation UNION ALL SELECT 'r' || r_regionkey, unnest(range(1)) FROM region) GROUP BY id""")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.closure(geography(spark, sf_dir), 8).groupBy("id").agg(F.count("*").alias("n_ancestors"))
+    return model.closure(geography(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n_ancestors"))
 
 
-@query("SELECT n_regionkey AS doc_id, 'c' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0 OR c_custkey % 77 = 0")
+@query("""SELECT n_regionkey AS doc_id, 'c' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0 OR c_custkey % 77 = 0
+  UNION ALL SELECT r_regionkey, unnest(['x1', 'x2', 'x3', 'y1', 'y2']) FROM region""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.unreachable(geography(spark, sf_dir, broken=True), 8)
+    return model.unreachable(geography(spark, sf_dir, broken=True))
 
 
-@query("SELECT n_regionkey AS doc_id, 'c' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 77 = 0 AND c_custkey % 50 <> 0")
+@query("""SELECT n_regionkey AS doc_id, 'c' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 77 = 0 AND c_custkey % 50 <> 0
+  UNION ALL SELECT r_regionkey, unnest(['x1', 'x2', 'x3']) FROM region""")
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.on_cycles(geography(spark, sf_dir, broken=True), 8)
+    return model.on_cycles(geography(spark, sf_dir, broken=True))
 
 
 @query("""SELECT r_regionkey AS doc_id, 'document-root' AS id, 'r' || r_regionkey AS children FROM region UNION ALL SELECT n_regionkey, 'r' || n_regionkey, string_agg('n' || n_nationkey, ',' ORDER BY n_nationkey) FROM nation GROUP BY n_regionkey

@@ -79,10 +79,34 @@ def test_paths_and_inheritance(spark):
     assert {r.id: r.nearest_id for r in model.nearest(e, ("heading",)).collect()}["p"] == "s"
 
 
+def chain(n, doc=1):
+    return [(doc, ROOT, None, 0, "document", "", None)] + [(doc, f"e{k}", ROOT if k == 0 else f"e{k - 1}", k + 1, "paragraph", "x", None) for k in range(n)]
+
+
 def test_deep_trees(spark):
-    deep = [(1, ROOT, None, 0, "document", "", None)] + [(1, f"e{k}", ROOT if k == 0 else f"e{k - 1}", k + 1, "paragraph", "x", None) for k in range(150)]
-    far = model.closure(spark.createDataFrame(deep, ELEMENT), levels=256).filter("id = 'e149'").agg(F.max("distance"), F.count("*")).first()
-    assert tuple(far) == (150, 150)
+    deep = spark.createDataFrame(chain(150), ELEMENT)
+    far = model.closure(deep).filter("id = 'e149'").agg(F.max("distance"), F.count("*")).first()
+    assert tuple(far) == (150, 150) and codes(validate.element_issues(deep)) == []
+
+
+def test_very_deep_trees(spark):
+    """5000 levels: no cycle as a chain, all on one as a ring."""
+    deep = spark.createDataFrame(chain(5000), ELEMENT)
+    assert model.on_cycles(deep).count() == 0
+    broken = spark.createDataFrame([r if r[1] != "e0" else (1, "e0", "e4999", 1, "paragraph", "x", None) for r in chain(5000)], ELEMENT)
+    assert model.on_cycles(broken).count() == 5000
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_cycles_with_tails(spark, n):
+    """Only the elements of a cycle are on it; all that lead to it are unreachable, and their ancestors end where it begins."""
+    ring = [(2, f"r{k}", f"r{(k + 1) % n}", k, "paragraph", "x", None) for k in range(n)]
+    tail = [(2, f"t{k}", "r0" if k == 0 else f"t{k - 1}", 100 + k, "paragraph", "x", None) for k in range(9)]
+    e = spark.createDataFrame(chain(20) + [(2, ROOT, None, 0, "document", "", None), *ring, *tail], ELEMENT)
+    assert {(r.doc_id, r.id) for r in model.on_cycles(e).collect()} == {(2, f"r{k}") for k in range(n)}
+    assert {r.id for r in model.unreachable(e).collect()} == {r[1] for r in ring + tail}
+    up = model.closure(e).filter("doc_id = 2").collect()
+    assert {(r.id, r.ancestor_id, r.distance) for r in up} == {(f"t{k}", f"t{j}", k - j) for k in range(9) for j in range(k)} | {(f"t{k}", "r0", k + 1) for k in range(9)}
 
 
 CELL = "doc_id LONG, table_id STRING, row INT, column INT, value STRING, rowspan INT, colspan INT, is_header BOOLEAN"
