@@ -9,6 +9,8 @@ from quireflow.functions.scalars import overlap_ratio
 
 PAGE = ("doc_id", "page")
 LINE_TOLERANCE, COLUMN_TOLERANCE, ROWS, COLUMNS, ORPHAN = 10, 20, 3, 2, 28
+#: Bands of a page at most in which boxes meet.
+BANDS = 1024
 
 
 def islands(rows: DataFrame, by: tuple[str, ...], value: str, tolerance: float, name: str, *ties: str) -> DataFrame:
@@ -18,12 +20,31 @@ def islands(rows: DataFrame, by: tuple[str, ...], value: str, tolerance: float,
     return rows.withColumn("__gap", gap).withColumn(name, F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__gap")
 
 
+def meeting(a: DataFrame, b: DataFrame, by: tuple[str, ...] = PAGE, slack: Column | float = 0.0) -> DataFrame:
+    """(by, a, ax0 ... , b, bx0 ...): pairs of boxes of a page, one of each side, whose heights meet within slack.
+
+    The page is cut into as many bands as it has boxes, at most BANDS; boxes that share one meet in the first they share. So a page costs what
+    there is at equal heights, not the square of its boxes. slack may be a column of a.
+    """
+    edges = a.select(*by, "y0", "y1").unionByName(b.select(*by, "y0", "y1"))
+    extent = edges.groupBy(*by).agg(F.min("y0").alias("top"), F.greatest((F.max("y1") - F.min("y0")) / F.least(F.count("*"), F.lit(BANDS)), F.lit(1e-9)).alias("band"))
+    wide = slack if isinstance(slack, Column) else F.lit(float(slack))
+
+    def dealt(boxes: DataFrame, side: str, more: Column) -> DataFrame:
+        at = lambda y: F.floor((y - F.col("top")) / F.col("band"))
+        d = boxes.join(extent, list(by)).withColumn("first", at(F.col("y0") - more)).withColumn("last", at(F.col("y1") + more))
+        keep = [F.col(c).alias(side + c) for c in ("x0", "y0", "x1", "y1")]
+        return d.select(*by, F.col("idx").alias(side), *keep, F.col("first").alias(side + "first"), more.alias(side + "more"), F.explode(F.sequence("first", F.greatest("first", "last"))).alias("at"))
+
+    met = dealt(a, "a", wide).join(dealt(b, "b", F.lit(0.0)), [*by, "at"]).filter(F.col("at") == F.greatest("afirst", "bfirst"))
+    close = (F.col("by0") <= F.col("ay1") + F.col("amore")) & (F.col("ay0") - F.col("amore") <= F.col("by1"))
+    return met.filter(close).drop("at", "afirst", "bfirst", "amore", "bmore")
+
+
 def overlapping_pairs(boxes: DataFrame, least: float = 0.2) -> DataFrame:
     """(page keys, a, b, ratio): pairs of a page's boxes that share at least that part of the first one's area."""
-    a = boxes.select(*PAGE, F.col("idx").alias("a"), *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = boxes.select(*PAGE, F.col("idx").alias("b"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     ratio = overlap_ratio(*(F.col(f"{s}{c}") for s in "ab" for c in ("x0", "y0", "x1", "y1")))
-    return a.join(b, list(PAGE)).filter("a < b").withColumn("ratio", ratio).filter(F.col("ratio") >= least).select(*PAGE, "a", "b", "ratio")
+    return meeting(boxes, boxes).filter("a < b").withColumn("ratio", ratio).filter(F.col("ratio") >= least).select(*PAGE, "a", "b", "ratio")
 
 
 def column_layout(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -60,10 +81,10 @@ def reading_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     column = F.when(~two | spanning, 0).when((F.col("x0") + F.col("x1")) / 2 < F.col("split_x"), 1).otherwise(2)
     b = b.withColumn("column_index", column).withColumn("region_type", F.when(two & (F.col("column_index") > 0), "column").when(spanning, "full_width").otherwise("body"))
     b = b.withColumn("__two", two).withColumn("key", F.struct("y0", "x0", "idx"))
-    # On a page, the band of a column block is the least full-width block, in order, that starts below its middle.
-    full = b.filter((F.col("column_index") == 0) & F.col("__two")).select(*PAGE, F.col("key").alias("fkey"), F.col("y0").alias("top"))
-    band = b.filter("column_index > 0").join(full, list(PAGE)).filter((F.col("y0") + F.col("y1")) / 2 < F.col("top")).groupBy(*PAGE, "idx").agg(F.min("fkey").alias("fkey"))
-    b = b.join(band, [*PAGE, "idx"], "left")
+    # On a page, the band of a column block is the least full-width block, in order, that starts below its middle: one sweep from below.
+    at = F.when(F.col("column_index") > 0, (F.col("y0") + F.col("y1")) / 2).otherwise(F.col("y0"))
+    sweep = Window.partitionBy(*PAGE).orderBy(at.desc(), F.when(F.col("column_index") > 0, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("fkey", F.min(F.when((F.col("column_index") == 0) & F.col("__two"), F.col("key"))).over(sweep))
     last = F.struct(F.lit(float("inf")).alias("y0"), F.lit(0.0).alias("x0"), F.lit(0).cast("int").alias("idx"))
     place = F.when(F.col("column_index") == 0, F.col("key")).otherwise(F.coalesce("fkey", last))
     own = F.when(~F.col("__two") | (F.col("column_index") == 0), 3).otherwise(F.col("column_index"))
@@ -144,11 +165,12 @@ CAPTION = r"(?iu)\A\s*(table|表)\s*(?:[0-9IVXivx一二三四五六七八九十]
 
 def nearest_captions(captions: DataFrame, tables: DataFrame, pages: DataFrame, near: float = 0.08, floor: float = 24.0) -> DataFrame:
     """(page keys, caption, table): each caption's nearest table of the page by (gap, alignment, id), if close and aligned. Boxes are (x0, y0, x1, y1)."""
-    c = captions.filter(F.regexp_replace("text", r"\A[# ]+", "").rlike(CAPTION)).select(*PAGE, F.col("idx").alias("caption"), *(F.col(k).alias("c" + k) for k in ("x0", "y0", "x1", "y1")))
-    t = tables.select(*PAGE, F.col("idx").alias("table"), *(F.col(k).alias("t" + k) for k in ("x0", "y0", "x1", "y1")))
-    gap = F.least(F.abs(F.col("ty0") - F.col("cy1")), F.abs(F.col("cy0") - F.col("ty1")))
-    alignment = F.greatest(F.lit(0.0), F.least("cx1", "tx1") - F.greatest("cx0", "tx0")) / F.greatest(F.lit(1.0), F.least(F.col("cx1") - F.col("cx0"), F.col("tx1") - F.col("tx0")))
-    j = c.join(t, list(PAGE)).join(pages, list(PAGE)).withColumn("gap", gap).withColumn("alignment", alignment).filter((F.col("gap") <= F.greatest(F.col("page_height") * near, F.lit(floor))) & (F.col("alignment") >= 0.5))
+    reach = F.greatest(F.col("page_height") * near, F.lit(floor))
+    c = captions.filter(F.regexp_replace("text", r"\A[# ]+", "").rlike(CAPTION)).join(pages.select(*PAGE, reach.alias("reach")), list(PAGE))
+    gap = F.least(F.abs(F.col("by0") - F.col("ay1")), F.abs(F.col("ay0") - F.col("by1")))
+    alignment = F.greatest(F.lit(0.0), F.least("ax1", "bx1") - F.greatest("ax0", "bx0")) / F.greatest(F.lit(1.0), F.least(F.col("ax1") - F.col("ax0"), F.col("bx1") - F.col("bx0")))
+    j = meeting(c, tables, PAGE, F.col("reach")).withColumnsRenamed({"a": "caption", "b": "table"}).join(pages.select(*PAGE, reach.alias("reach")), list(PAGE))
+    j = j.withColumn("gap", gap).withColumn("alignment", alignment).filter((F.col("gap") <= F.col("reach")) & (F.col("alignment") >= 0.5))
     best = F.min(F.struct("gap", (-F.col("alignment")).alias("a"), "table"))
     return j.groupBy(*PAGE, "caption").agg(best.alias("b")).select(*PAGE, "caption", F.col("b.table").alias("table"), F.col("b.gap").alias("gap"))
 
@@ -162,9 +184,9 @@ def caption_edges(pairs: DataFrame) -> DataFrame:
 
 def outside(words: DataFrame, boxes: DataFrame, slack: float = 2.0) -> DataFrame:
     """Words of a page that lie in none of its boxes."""
-    b = boxes.select(*(F.col(k).alias("b_" + k) for k in (*PAGE, "x0", "y0", "x1", "y1")))
-    on = [words[k] == F.col("b_" + k) for k in PAGE] + [words["x0"] >= F.col("b_x0") - slack, words["y0"] >= F.col("b_y0") - slack, words["x1"] <= F.col("b_x1") + slack, words["y1"] <= F.col("b_y1") + slack]
-    return words.join(b, on, "left_anti")
+    inside = (F.col("ax0") >= F.col("bx0") - slack) & (F.col("ay0") >= F.col("by0") - slack) & (F.col("ax1") <= F.col("bx1") + slack) & (F.col("ay1") <= F.col("by1") + slack)
+    held = meeting(words, boxes, PAGE, slack).filter(inside).select(*PAGE, F.col("a").alias("idx"))
+    return words.join(held, [*PAGE, "idx"], "left_anti")
 
 
 def page_modes(pages: DataFrame) -> DataFrame:
@@ -197,22 +219,23 @@ def paragraphs(lines: DataFrame, gap: float = 1.8, alignment: float = 0.5) -> Da
     import pandas as pd
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        number = {}
+        reachable: dict[int, tuple] = {}  # a group's last line; lines come from the top, so what is too far above stays so
+        number, n = {}, 0
         for r in page.sort_values(["y0", "x0", "idx"]).itertuples():
             best = None
-            for k, g in enumerate(groups):
-                p = g[-1]
+            for k, p in list(reachable.items()):
                 apart, height = r.y0 - p.y1, max(1.0, p.y1 - p.y0)
+                if apart > gap * height:
+                    del reachable[k]
+                    continue
                 shared = max(0.0, min(r.x1, p.x1) - max(r.x0, p.x0)) / max(1.0, min(r.x1 - r.x0, p.x1 - p.x0))
-                if -height <= apart <= gap * height and shared >= alignment and (best is None or apart < best[0]):
+                if -height <= apart and shared >= alignment and (best is None or (apart, k) < best):
                     best = (apart, k)
             if best is None:
-                groups.append([r])
-                number[r.idx] = len(groups)
-            else:
-                groups[best[1]].append(r)
-                number[r.idx] = best[1] + 1
+                n += 1
+            at = best[1] if best else n
+            reachable[at] = r
+            number[r.idx] = at
         return pd.DataFrame({"doc_id": page["doc_id"], "page": page["page"], "idx": page["idx"], "paragraph": page["idx"].map(number).astype("int32")})
 
     return lines.groupBy(*PAGE).applyInPandas(run, "doc_id long, page int, idx int, paragraph int")
