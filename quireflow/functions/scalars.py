@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Ids that are safe in file names, and what an edge may say.
+SAFE_ID = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"
+RELATIONS = ("caption_of", "captioned_by", "note_for", "has_note")
 #: White space as Unicode has it; Java's own \s and trim() know only ASCII's.
 SPACE = r"(?U)\s+"
 
@@ -40,9 +43,16 @@ def csv_field(c: Column) -> Column:
     return F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
+#: What full case folding does to characters that are lower case already, as the interpreter's Unicode tables have it.
+FOLDS = {x: x.casefold() for x in map(chr, range(0x80, 0x1F000)) if x.lower() == x and x.casefold() != x}
+
+
 def folded(c: Column) -> Column:
-    """Case-folded for the texts at hand: lower case, with the sharp s spelt out."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, and what folding does beyond it where a text has such a character."""
+    low = F.lower(c)
+    table = F.create_map(*(F.lit(x) for pair in FOLDS.items() for x in pair))
+    each = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(low.rlike("[" + "".join(FOLDS) + "]"), each).otherwise(low)
 
 
 def comparable(c: Column) -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.functions.scalars import csv_field, escape_html, escape_pipe
-
-SAFE_ID = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"
+from quireflow.functions.scalars import SAFE_ID, csv_field, escape_html, escape_pipe
 
 
 def rectangular(grid: Column) -> Column:
