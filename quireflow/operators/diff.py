@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions.scalars import canonical_json
@@ -62,6 +62,49 @@ def against_baseline(now: DataFrame, baseline: DataFrame, keys: Sequence[str]) -
     return j.select(*keys, F.when(F.col("__o").isNull(), "new").when(F.col("__n").isNull(), "gone").when(F.col("__n") == F.col("__o"), "same").otherwise("changed").alias("verdict"))
 
 
+def rerun_mismatches(first: DataFrame, second: DataFrame, keys: Sequence[str], case: str = "case_id", loose: str | None = None, ocr: str = "ocr") -> DataFrame:
+    """(case, rows, code): cases of which two runs differ, by row: other values, a row that one run lacks, or one that comes more often.
+
+    Volatile columns don't count. loose is a column of numbers that may differ by the tolerance where the column ocr is true.
+    """
+    w = Window.partitionBy(*keys).orderBy("fingerprint")
+
+    def prints(df: DataFrame) -> DataFrame:
+        df = stable(df)
+        apart = [*keys, *(c for c in (case, ocr, loose) if c and c not in keys and c in df.columns)]
+        return row_fingerprints(df, apart).withColumn("__k", F.row_number().over(w))
+
+    x, y = prints(first), prints(second)
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*keys, "__k"]]
+    j = x.alias("x").join(y.alias("y"), on, "full_outer")
+    same = F.col("x.fingerprint").eqNullSafe(F.col("y.fingerprint"))
+    if loose:
+        same &= same_confidence(F.col(f"x.{loose}"), F.col(f"y.{loose}"), F.coalesce(F.col(f"x.{ocr}"), F.col(f"y.{ocr}")))
+    return j.filter(~same).groupBy(F.coalesce(f"x.{case}", f"y.{case}").alias(case)).agg(F.count("*").alias("rows")).withColumn("code", F.lit("CROSS_FORMAT_NONDETERMINISTIC_RERUN"))
+
+
+def workflow_errors(cases: DataFrame, observed: DataFrame) -> DataFrame:
+    """(case_id, code): what a workflow's run fell short of.
+
+    cases: required_reason_codes, expected_request_status, expected_review_status, expected_projection_status, required_patterns.
+    observed: failed_steps, valid, source_sha256, fingerprint, request_sha256, request_fingerprint, request_codes, request_status, review_status, projection_status, readable; null where there is no such artifact.
+    """
+    j = cases.join(observed, "case_id", "left")
+    none = F.expr("cast(array() AS array<string>)")
+    asked = F.col("request_sha256").isNotNull()
+    when = lambda c, code: F.when(F.coalesce(c, F.lit(False)), F.lit(code))
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    text = F.coalesce("readable", F.lit(""))
+    codes = F.array(
+        when(~F.coalesce("valid", F.lit(False)), "BUNDLE_VALIDATION_FAILED"), when(~asked, "HOST_REVIEW_REQUEST_MISSING"), when(asked & (differs("request_sha256", "source_sha256") | differs("request_fingerprint", "fingerprint")), "WORKFLOW_REFERENCE_ERROR"),
+        when(asked & (F.size(F.array_except("required_reason_codes", F.coalesce("request_codes", none))) > 0), "WORKFLOW_REASON_CODE_MISSING"),
+        when(differs("expected_request_status", "request_status") | differs("expected_review_status", "review_status") | differs("expected_projection_status", "projection_status"), "WORKFLOW_STATUS_MISMATCH"),
+        when(F.col("readable").isNull(), "READABLE_PROJECTION_MISSING"), when(F.col("readable").isNotNull() & (~text.rlike(r"(?U)\S") | F.exists("required_patterns", lambda p: ~F.contains(text, p))), "READABLE_PROJECTION_SEMANTICS_MISSING"),
+    )
+    steps = F.transform(F.coalesce("failed_steps", none), lambda s: F.concat(F.lit("WORKFLOW_"), F.upper(s), F.lit("_FAILED")))
+    return j.select("case_id", F.explode(F.array_distinct(F.concat(steps, F.array_compact(codes)))).alias("code"))
+
+
 def contract_breaches(cases: DataFrame, observed: DataFrame) -> DataFrame:
     """case_id and breach of cases (required, allowed, forbidden codes, statuses, min_tables, max_tables) by what was observed (codes, status, n_tables)."""
     j = cases.join(observed, "case_id", "left")

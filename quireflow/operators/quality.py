@@ -40,8 +40,10 @@ def _rules() -> dict[str, tuple[tuple[str, ...], Column, Column]]:
         "CSV_INCONSISTENT_COLUMN_COUNT": (("csv", "tsv"), n("row_widths") > 1, n("row_widths")),
         "MULTI_COLUMN_LAYOUT_DETECTED": (("pdf",), n("two_column_pages") > 0, n("two_column_pages")),
         "READING_ORDER_UNCERTAIN": (("pdf",), n("overlapping_pairs") > 0, n("overlapping_pairs")),
+        "TABLE_TEXT_ASSOCIATION_UNCERTAIN": (("pdf",), n("two_column_table_pages") > 0, n("two_column_table_pages")),
         "VISUAL_FLOW_AMBIGUOUS": (("pptx",), n("ambiguous_slides") > 0, n("ambiguous_slides")),
-        "EMBEDDED_RASTER_TEXT_UNEXTRACTED": (("pdf",), n("raster_pages") > 0, n("raster_pages")),
+        "MIXED_PDF_MATERIAL_RASTER_OCR": (("pdf",), (n("raster_pages") > 0) & flag("raster_read"), n("raster_pages")),
+        "EMBEDDED_RASTER_TEXT_UNEXTRACTED": (("pdf",), (n("raster_pages") > 0) & ~flag("raster_read"), n("raster_pages")),
         "DOCX_NESTED_TABLE_FLATTENED": (("docx",), n("nested_tables") > 0, n("nested_tables")),
         "OCR_TABLE_RECONSTRUCTION_UNTRUSTED": (("image",), n("rejected_candidates") > 0, n("rejected_candidates")),
         "GENERIC_FALLBACK_USED": ((), F.col("engine") == "generic_fallback", F.col("engine")),
@@ -55,7 +57,7 @@ def _rules() -> dict[str, tuple[tuple[str, ...], Column, Column]]:
     }
 
 
-REPORT = "doc_id LONG, file_type STRING, engine STRING, failure STRING, markdown STRING, mismatch BOOLEAN, detected_by_magic STRING, encryption_check STRING, total_merged_ranges INT, merged_ranges_rendered INT, formula_cached_values_missing INT, charts_found INT, encoding_ambiguous BOOLEAN, encoding STRING, json_valid BOOLEAN, page_mode STRING, ocr_used BOOLEAN, low_confidence_pages INT, glued_pages INT, tesseract_pages INT, table_likelihood DOUBLE, table_regions INT, table_row_consistency STRING, smartart_parts INT, ole_objects INT, row_widths INT, two_column_pages INT, overlapping_pairs INT, ambiguous_slides INT, raster_pages INT, nested_tables INT, rejected_candidates INT, main_confidence STRING, main_strategy STRING, unresolved_links INT, invalid_spans INT, overlapping_spans INT, empty_tables INT"
+REPORT = "doc_id LONG, file_type STRING, engine STRING, failure STRING, markdown STRING, mismatch BOOLEAN, detected_by_magic STRING, encryption_check STRING, total_merged_ranges INT, merged_ranges_rendered INT, formula_cached_values_missing INT, charts_found INT, encoding_ambiguous BOOLEAN, encoding STRING, json_valid BOOLEAN, page_mode STRING, ocr_used BOOLEAN, low_confidence_pages INT, glued_pages INT, tesseract_pages INT, table_likelihood DOUBLE, table_regions INT, table_row_consistency STRING, smartart_parts INT, ole_objects INT, row_widths INT, two_column_pages INT, two_column_table_pages INT, overlapping_pairs INT, ambiguous_slides INT, raster_pages INT, raster_read BOOLEAN, nested_tables INT, rejected_candidates INT, main_confidence STRING, main_strategy STRING, unresolved_links INT, invalid_spans INT, overlapping_spans INT, empty_tables INT"
 
 
 def full_report(report: DataFrame) -> DataFrame:
@@ -78,6 +80,12 @@ def warnings(report: DataFrame, codes: Sequence[str] | None = None) -> DataFrame
     return full_report(report).select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.code", "w.evidence")
 
 
+def candidate_warnings(candidates: DataFrame) -> DataFrame:
+    """(doc_id, code, evidence): the reason codes of a document's rejected table candidates (decision, reason_codes), each once, with how many candidates have it."""
+    each = candidates.filter(F.col("decision") != "accepted").select("doc_id", F.explode(F.array_distinct("reason_codes")).alias("code"))
+    return each.groupBy("doc_id", "code").agg(F.count("*").cast("string").alias("evidence"))
+
+
 def statuses(report: DataFrame) -> DataFrame:
     """doc_id, status, reason, n_warnings: failed, passed_with_warnings or passed. Any warning downgrades; empty output and a converter's failure fail."""
     w = warnings(report).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("code") == "EMPTY_OUTPUT").alias("empty"))

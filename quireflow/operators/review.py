@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions.scalars import protected_tokens, reviewable, unsafe
@@ -95,6 +95,50 @@ def bounded(targets: DataFrame, limit: int = TARGET_CHARS) -> DataFrame:
     return targets.select("doc_id", "target_id", "grid", "faithful_markdown").mapInPandas(run, "doc_id long, target_id string, n_chars long, rows_kept long, faithful_markdown string, truncations array<string>")
 
 
+PROHIBITED = ("invent_content", "remove_source_content", "change_numbers", "change_dates", "change_urls", "change table geometry", "merge unrelated source sections", "rewrite canonical JSON", "change provenance")
+PRESERVED = ("preserve_facts", "preserve_numbers", "preserve_urls", "preserve_table_ids", "preserve_source_order", "do_not_modify_canonical")
+#: Elements offered where a document is recommended and no table is a target.
+FALLBACK_TARGETS = 10
+
+
+def element_targets(elements: DataFrame, documents: DataFrame) -> DataFrame:
+    """The first elements with content of documents (doc_id) as targets: a limit of the request, not of the data."""
+    e = elements.join(documents.select("doc_id"), "doc_id", "left_semi").filter(F.coalesce("content", F.lit("")) != "")
+    e = e.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "id"))).filter(F.col("__n") <= FALLBACK_TARGETS)
+    return e.select("doc_id", F.lit("element_range").alias("target_type"), F.format_string("ocr-element-%04d", "__n").alias("target_id"), F.col("content").alias("faithful_markdown"))
+
+
+def requested(targets: DataFrame, kind: str = "all_eligible_targets", target_id: str | None = None) -> DataFrame:
+    """The targets that a user asks for: all, or the one of a kind (table, element_range) with this id; EXPLICIT_USER_REQUEST comes first among their reasons."""
+    if kind not in ("all_eligible_targets", "table", "element_range") or (kind != "all_eligible_targets" and not target_id):
+        raise ValueError("a request names all targets, or a kind and an id")
+    t = targets if kind == "all_eligible_targets" else targets.filter((F.col("target_type") == kind) & (F.col("target_id") == target_id))
+    first = F.array(F.lit("EXPLICIT_USER_REQUEST"))
+    return t.withColumn("reason_codes", F.array_distinct(F.concat(first, F.coalesce("reason_codes", F.expr("cast(array() AS array<string>)")))))
+
+
+def requests(eligible: DataFrame, targets: DataFrame, documents: DataFrame, limit: int = REQUEST_CHARS, target_limit: int = TARGET_CHARS) -> DataFrame:
+    """(doc_id, status, request, n_chars, error): a document's review request as canonical JSON.
+
+    eligible is what eligibility() gives; targets doc_id, target_type, target_id, reason_codes and faithful_markdown; documents doc_id, sha256 and fingerprint.
+    Documents that are not recommended, or have no target, get no request; one with a target of over target_limit characters, or over limit in all, gets an error instead.
+    """
+    t = targets.select("doc_id", F.struct("target_id", "target_type", "reason_codes", "faithful_markdown").alias("t"), F.length("faithful_markdown").alias("n"))
+    g = t.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("ts"), F.max("n").alias("longest"))
+    d = eligible.select("doc_id", "policy_status", F.col("reason_codes").alias("reasons")).join(documents.select("doc_id", "sha256", "fingerprint"), "doc_id").join(g, "doc_id", "left")
+    actionable = (F.col("policy_status") == "recommended") & (F.coalesce(F.size("ts"), F.lit(0)) > 0)
+    one = lambda x: F.struct(x["faithful_markdown"].alias("faithful_markdown"), x["reason_codes"].alias("reason_codes"), x["target_id"].alias("target_id"), x["target_type"].alias("target_type"))
+    words = lambda xs: F.array(*map(F.lit, xs))
+    body = F.to_json(F.struct(
+        words(sorted(OPERATIONS)).alias("allowed_operations"), F.col("fingerprint").alias("canonical_bundle_fingerprint"), F.struct(*(F.lit(True).alias(k) for k in sorted(PRESERVED))).alias("instructions"), words(PROHIBITED).alias("prohibited_operations"),
+        F.col("reasons").alias("reason_codes"), F.concat(F.lit("ai-review-request-"), F.left("sha256", F.lit(16))).alias("request_id"), F.lit("readable_projection_only").alias("review_scope"), F.lit("1.0").alias("schema_version"), F.col("sha256").alias("source_sha256"), F.transform("ts", one).alias("targets"),
+    ))
+    d = d.withColumn("__body", F.when(actionable, body)).withColumn("n_chars", F.length("__body"))
+    too_large = F.coalesce((F.col("n_chars") > limit) | (F.col("longest") > target_limit), F.lit(False)) & actionable
+    status = F.when(~actionable, "not_generated_no_actionable_targets").when(too_large, "failed").otherwise("generated")
+    return d.select("doc_id", status.alias("status"), F.when(~too_large, F.col("__body")).alias("request"), F.when(~too_large, F.col("n_chars")).alias("n_chars"), F.when(too_large, "AI_REVIEW_CONTENT_TOO_LARGE").alias("error"))
+
+
 def lost_tokens(before: Column, after: Column) -> Column:
     """Protected tokens that a text no longer has."""
     return F.array_except(F.array_distinct(protected_tokens(before)), protected_tokens(after))
@@ -126,10 +170,17 @@ def review_errors(reviews: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def fingerprint(parts: DataFrame, *by: str) -> DataFrame:
-    """SHA-256 of a bundle's parts (ordinal, part), joined by line ends in order."""
+    """SHA-256 of a bundle's parts (ordinal, part), joined by line ends in order. A bundle is one unit of work."""
     return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "part"))), lambda x: x["part"]), "\n"), 256).alias("fingerprint"))
 
 
+def corpus_fingerprint(parts: DataFrame, *by: str) -> DataFrame:
+    """A fingerprint of any number of parts (ordinal, part): the sum of what SHA-256 makes of each ordinal and part, so that it needs no order and no list."""
+    slice_ = lambda k: F.sum(F.conv(F.substring("__h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    h = parts.withColumn("__h", F.sha2(F.concat_ws(":", F.col("ordinal").cast("string"), "part"), 256))
+    return h.groupBy(*by).agg(F.concat_ws("-", *(slice_(k) for k in range(4)), F.count("*").cast("string")).alias("fingerprint"))
+
+
 def projected(documents: DataFrame, reviews: DataFrame) -> DataFrame:
     """doc_id, readable, canonical_sha256: document text with each applied review's faithful table replaced once, in the order of target_id.
 

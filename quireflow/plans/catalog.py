@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.plans import checks, files, layout, structure, text  # noqa: F401  they register themselves
+from quireflow.plans import checks, contracts, files, layout, origins, readers, structure, text  # noqa: F401  they register themselves
 from quireflow.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quireflow.plans.registry import query, table
 from quireflow.sources import files, html, text
 
-_EXT = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in es.split())}) THEN '{f}'" for f, es in files.EXTENSIONS.items()) + " ELSE 'unknown' END"
+_EXT = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in es)}) THEN '{f}'" for f, es in files.EXTENSIONS.items()) + " ELSE 'unknown' END"
 
 
 @query(f"SELECT page_id, {_EXT} AS fmt FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/.][^/]*\\.([^./]*)$', 1)) AS ext FROM pages)")

@@ -180,10 +180,21 @@ def _flags(d: DataFrame, escaped: Column) -> DataFrame:
     return d.select("doc_id", scalars.majority_latin(t).alias("latin"), scalars.mojibake_count(t).alias("mojibake"), scalars.unsafe(t).alias("unsafe"), scalars.escape_html(escaped).alias("html"), scalars.escape_pipe(escaped).alias("pipe"))
 
 
-@query("SELECT lang, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")
+@query("SELECT conv_id, sha256(string_agg(sha256(text), chr(10) ORDER BY turn)) AS fingerprint FROM conversations GROUP BY conv_id")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fingerprint per bundle: conversations and their turns."""
+    c = table(spark, sf_dir, "conversations")
+    return review.fingerprint(c.select("conv_id", F.col("turn").alias("ordinal"), F.sha2("text", 256).alias("part")), "conv_id")
+
+
+_SLICES = " || '-' || ".join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::HUGEINT)::VARCHAR" for k in range(4))
+
+
+@query(f"SELECT lang, {_SLICES} || '-' || count(*) AS fingerprint FROM (SELECT lang, sha256(doc_id || ':' || sha256(text)) AS h FROM documents) GROUP BY lang")
+def corpus_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fingerprint of all documents of a language, without a list of them."""
     d = table(spark, sf_dir, "documents")
-    return review.fingerprint(d.select("lang", F.col("doc_id").alias("ordinal"), F.sha2("text", 256).alias("part")), "lang")
+    return review.corpus_fingerprint(d.select("lang", F.col("doc_id").alias("ordinal"), F.sha2("text", 256).alias("part")), "lang")
 
 
 @query("""WITH b AS (SELECT * FROM documents WHERE doc_id % 5 <> 0), a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 7 = 0 THEN 'table' ELSE 'paragraph' END AS type FROM documents WHERE doc_id % 4 <> 0),

@@ -9,10 +9,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The extensions of each format.
 EXTENSIONS = {
-    "xlsx": "xlsx xlsm", "docx": "docx", "pptx": "pptx", "pdf": "pdf", "image": "png jpg jpeg tif tiff bmp webp", "csv": "csv tsv", "json": "json", "eml": "eml",
-    "text": "txt text log", "markdown": "md markdown", "html": "html htm", "pandoc": "epub rst org tex latex", "legacy_office": "xls doc ppt",
-}
+    "xlsx": ("xlsx", "xlsm"),
+    "docx": ("docx",),
+    "pptx": ("pptx",),
+    "pdf": ("pdf",),
+    "image": ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"),
+    "csv": ("csv", "tsv"),
+    "json": ("json",),
+    "eml": ("eml",),
+    "text": ("txt", "text", "log"),
+    "markdown": ("md", "markdown"),
+    "html": ("html", "htm"),
+    "pandoc": ("epub", "rst", "org", "tex", "latex"),
+    "legacy_office": ("xls", "doc", "ppt"),
+}
 CONTAINERS = {"word/document.xml": "docx", "xl/workbook.xml": "xlsx", "ppt/presentation.xml": "pptx"}
 OLE = "legacy_office_or_encrypted_ooxml"
 ENCODINGS = ("big5", "cp950", "gb18030", "utf-16", "utf-16-be", "shift_jis")
@@ -29,7 +41,7 @@ def scan(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int
 
 def extension_format(path: Column) -> Column:
     """The format that a path's extension stands for, else unknown. A literal map: nothing is joined."""
-    pairs = [(e, f) for f, es in EXTENSIONS.items() for e in es.split()]
+    pairs = [(e, f) for f, es in EXTENSIONS.items() for e in es]
     extension = F.lower(F.regexp_extract(path, r"[^/\\.][^/\\]*\.([^./\\]*)\z", 1))
     return F.coalesce(F.create_map(*(F.lit(x) for p in pairs for x in p))[extension], F.lit("unknown"))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A span of more columns counts as so many, which is what the HTML standard says.
+MOST_COLUMNS = 1000
 UNSEEN = frozenset("script style noscript template".split())
 #: Which open elements a start tag ends, and where the search for them stops.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
@@ -142,8 +144,9 @@ def span(cell: Node, name: str) -> tuple[int, bool]:
 def table_cells(table: Node) -> tuple[list[dict], dict]:
     """Anchor cells placed around spans that reach into their row, and what was odd. An overlapping span is dropped, the first anchor stays."""
     taken: set[tuple[int, int]] = set()
+    lines = table.every("tr")
     cells, odd = [], {"invalid_spans": 0, "overlapping_spans": 0, "source_cells": 0}
-    for r, tr in enumerate(table.every("tr")):
+    for r, tr in enumerate(lines):
         c = 0
         for cell in tr.own("td", "th"):
             while (r, c) in taken:
@@ -151,6 +154,7 @@ def table_cells(table: Node) -> tuple[list[dict], dict]:
             odd["source_cells"] += 1
             (rows, ok1), (columns, ok2) = span(cell, "rowspan"), span(cell, "colspan")
             odd["invalid_spans"] += (not ok1) + (not ok2)
+            rows, columns = min(rows, len(lines) - r), min(columns, MOST_COLUMNS)  # as browsers do: no row comes of a span
             area = {(x, y) for x in range(r, r + rows) for y in range(c, c + columns)}
             if area & taken:
                 odd["overlapping_spans"] += 1

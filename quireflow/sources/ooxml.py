@@ -292,7 +292,7 @@ class Pptx(Package):
                 self.shape(shape, slide)
             for t, target in self.links.values():
                 notes = self.xml(target) if t == "notesSlide" else None
-                text = "\n".join(filter(None, (self.lines(s, False) for s in notes.iter(P + "sp") if self.role(s) == "body"))) if notes is not None else ""
+                text = "\n".join(filter(None, (self.lines(s, True) for s in notes.iter(P + "sp") if self.role(s) == "body"))) if notes is not None else ""
                 if text:
                     self.add("note", text, slide, None)
 
@@ -305,16 +305,35 @@ class Pptx(Package):
         ph = shape.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
         return None if ph is None else ph.get("type", "body")
 
+    def inherited(self, shape: ET.Element, level: int) -> ET.Element | None:
+        """What first says something of bullets at a level: the shape's list style, its placeholder in the layout, the master's body style."""
+        tag = f"{A}lvl{min(max(level, 0), 8) + 1}pPr"
+        ph = shape.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
+        layout = next((target for t, target in self.links.values() if t == "slideLayout"), "")
+        page = self.xml(layout)
+        styles = [shape.find(f"{P}txBody/{A}lstStyle")]
+        for s in page.iter(P + "sp") if page is not None and ph is not None else ():
+            other = s.find(f"{P}nvSpPr/{P}nvPr/{P}ph")
+            if other is not None and other.get("idx", "0") == ph.get("idx", "0"):
+                styles.append(s.find(f"{P}txBody/{A}lstStyle"))
+                break
+        master = self.xml(next((target for t, target in self.rels(layout).values() if t == "slideMaster"), "")) if layout else None
+        styles.append(master.find(f"{P}txStyles/{P}bodyStyle") if master is not None else None)
+        found = (s.find(tag) for s in styles if s is not None)
+        return next((p for p in found if p is not None and bullet(p) is not None), None)
+
     def lines(self, shape: ET.Element, title: bool) -> str:
-        out, body = [], self.role(shape) in ("body", "obj")
+        out, body = [], self.role(shape) in ("body", "obj", "vert")
         for p in shape.iter(A + "p"):
             text = "".join((t.text or "") if t.tag == A + "t" else "\n" for t in p.iter() if t.tag in (A + "t", A + "br")).strip()
             if not text:
                 continue
             props = p.find(A + "pPr")
             level = int(props.get("lvl", 0)) if props is not None else 0
-            has = lambda t: props is not None and props.find(A + t) is not None  # noqa: B023, E731
-            mark = "1. " if has("buAutoNum") else "- " if has("buChar") or (body and not has("buNone")) else ""
+            mark = bullet(props)
+            if mark is None and body:
+                mark = bullet(self.inherited(shape, level))
+            mark = mark or ""
             out.append(text if title else "  " * level * bool(mark) + mark + text)
         return "\n".join(out)
 
@@ -356,6 +375,13 @@ class Pptx(Package):
         self.add("table", pipe(rows), parent, own, name)
 
 
+def bullet(props: ET.Element | None) -> str | None:
+    """The mark that paragraph properties ask for: none, a number or a dash; null if they say nothing."""
+    if props is None:
+        return None
+    return next((mark for tag, mark in (("buNone", ""), ("buAutoNum", "1. "), ("buChar", "- ")) if props.find(A + tag) is not None), None)
+
+
 def chart_text(chart: ET.Element) -> str:
     """The chart's title, and each series with its categories and values."""
     tag = lambda e: e.tag.rsplit("}", 1)[-1]
