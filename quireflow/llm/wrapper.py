@@ -1,15 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are brought together. Their DOM trees are aligned one by one, by simple tree matching, with a tree that takes in what
-it lacks: nodes that are aligned and have the same words on most pages of distinct content are template, those that vary are
-slots. A page's template nodes go, and the text of the slots is its content. What varies from page to page but is no article (menus,
-adverts, comments and so on have other words on each page) is told by element, role and class; where a page
-marks its article or main part, that part is the content, less its own template nodes. If these hold over half of its
-text, it is a copied article and stays whole.
-
-Defined results: null html is empty and gives an empty text; a null url, or one without host, is a host of its own; a host whose pages
-all have one content has no template; repeated rows get a row each; markup that is cut off or wrongly nested is repaired as far as
-browsers' rules for implied ends go, and never raises.
+The DOM trees of a host's pages are aligned by simple tree matching, in a normal form in which repeated siblings are one node and siblings are ordered by
+label, so that aligning any number of pages is a sum over them. Nodes whose words most distinct pages have are template; those whose words vary
+are slots. The content is the slot that is reached from the root by following, again and again, the one box with most of the varying text that is no
+link; inside it, boxes of links and constant nodes are left out. All this is decided per host, over all its pages: a short article on a page
+with long adverts is found where the host's articles are. What elements, roles and classes say of themselves only breaks ties, keeps
+scripts, forms and the like out, and stands in for a page that has no template: one of a host with a single distinct page, or one
+that lacks the slot. If constant nodes hold over half of the content's box, it is a copied article and stays whole.
+
+Defined results: null html is empty and gives an empty text; a null url, or one without host, stands alone; a host whose pages
+all have one content has no template; copies count once; repeated rows get a row each; an empty table gives an empty result; very long and very deep pages are
+read whole, in time that grows with their length; only page_id, url and html are read, so other columns may have any name; markup that is
+cut off or wrongly nested is repaired as far as browsers' rules for implied ends go, and never raises.
 """
 
 from __future__ import annotations
@@ -19,17 +21,12 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import stored
-
-#: A host is dealt out in parts of so many pages, or of this share of all pages if that is more: so many hosts at most are broadcast.
-PART_PAGES, PARTS = 64, 100_000
-DEPTH, PRODUCT = 150, 4096
+from quireflow.llm.common import hot_keys, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -53,24 +50,26 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
     "sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations widget widgets skip search searchbar copyright".split()
 )
+#: Names that leave no doubt even inside an article; others ("alert", "search", "related") may be the article's own.
+CLEAR = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsored promo newsletter cookie cookies sidebar comments commentlist disqus sharing".split())
 #: What a name of several parts may have besides: "site-footer" is a footer, "has-sidebar" and "comments-open" are no sidebar and no comments.
 PLAIN = frozenset("main site page top bottom global primary secondary list box block area section container wrapper wrap inner outer bar buttons button links link item items posts post article entry widget text title form js".split())
 CONTENT = frozenset("content maincontent article post entry articlebody postcontent entrycontent story".split())
 
 
+ARTICLE = frozenset(["article", "main"])
+
+
 class Node:
-    __slots__ = ("attrs", "inner", "kids", "seen", "tag", "up", "words")
+    __slots__ = ("attrs", "inside", "kids", "path", "tag", "up")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
-        self.inner: list[Node] | None = None
-        self.words: tuple[str, ...] | None = None
-        self.seen: Counter | None = None  # of a template's node: pages by the words they have there
+        self.inside = up is not None and (up.inside or up.tag in ARTICLE)  # an article or main element
+        self.path = 0
 
     def elements(self) -> list[Node]:
-        if self.inner is None:
-            self.inner = [k for k in self.kids if isinstance(k, Node)]
-        return self.inner
+        return [k for k in self.kids if isinstance(k, Node)]
 
     def named(self) -> list[set[str]]:
         """The parts of each class and of the id."""
@@ -79,10 +78,30 @@ class Node:
     def names(self) -> set[str]:
         return set(re.split(r"[^a-z0-9]+", f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower()))
 
+    def words(self) -> tuple[str, ...]:
+        """The node's own text, piece by piece, without what is in its elements."""
+        return tuple(x for k in self.kids if isinstance(k, str) and (x := " ".join(k.split())))
+
+    def label(self) -> str:
+        """What nodes that stand for each other have in common: the tag and the first class, else the id, any numbers alike."""
+        first = (self.attrs.get("class") or self.attrs.get("id") or "").split()[:1]
+        return f"{self.tag}.{re.sub('[0-9]+', '#', first[0])}" if first else self.tag
+
 
 def parse(page: str) -> Node:
+    """The tree of a page, however deep. How many of each element are open is known, so that stray ends cost nothing."""
     root = here = Node("html", {}, None)
-    depth = 0
+    open_: Counter[str] = Counter()
+
+    def close(upto: Node) -> Node:
+        """Closes all that is open from here to upto, inclusive."""
+        at = here
+        while True:
+            open_[at.tag] -= 1
+            if at is upto:
+                return at.up
+            at = at.up
+
     for m in TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -92,47 +111,35 @@ def parse(page: str) -> Node:
         if not tag or tag == "html":
             continue
         if m["end"] or m["end2"]:
-            at, up = here, 0
-            while at.up is not None and at.tag != tag:
-                at, up = at.up, up + 1
-            if at.up is not None:
-                here, depth = at.up, depth - up - 1
+            if open_[tag] > 0:
+                at = here
+                while at.tag != tag:
+                    at = at.up
+                here = close(at)
             elif tag == "br":
                 here.kids.append(Node("br", {}, here))
             continue
-        closes, stop = IMPLIED.get(tag, (frozenset("p"), frozenset("button td th table".split())) if tag in ENDS_P else (None, None))
-        if tag == "li":
-            stop = stop | {"table"}
-        for closes, stop in ((closes, stop), (frozenset("p"), frozenset("button td th table".split())) if tag in ENDS_P else (None, None)):
-            if closes:
-                at, up, hit = here, 0, None
+        ends_p = (frozenset("p"), frozenset("button td th table".split())) if tag in ENDS_P else (None, frozenset())
+        closes, stop = IMPLIED.get(tag, ends_p)
+        for closes, stop in ((closes, stop | {"table"} if tag == "li" else stop), ends_p):
+            if closes and any(open_[x] > 0 for x in closes):
+                at, hit = here, None
                 while at.up is not None and at.tag not in stop:
                     if at.tag in closes:
-                        hit = (at, up)
-                    at, up = at.up, up + 1
+                        hit = at
+                    at = at.up
                 if hit:
-                    here, depth = hit[0].up, depth - hit[1] - 1
+                    here = close(hit)
         raw = m["attrs"] or m["attrs2"] or ""
-        attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTR.findall(raw)} if "=" in raw or raw.strip() else {}
+        attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTR.findall(raw)} if raw.strip() else {}
         node = Node(tag, attrs, here)
         here.kids.append(node)
-        if tag not in VOID and not raw.rstrip().endswith("/") and depth < DEPTH:
-            here, depth = node, depth + 1
+        if tag not in VOID and not raw.rstrip().endswith("/"):
+            here = node
+            open_[tag] += 1
     return root
 
 
-def inside(node: Node, tags: frozenset[str]) -> bool:
-    at = node.up
-    while at is not None:
-        if at.tag in tags:
-            return True
-        at = at.up
-    return False
-
-
-ARTICLE = frozenset(["article", "main"])
-
-
 def is_main(node: Node) -> bool:
     return node.tag == "main" or node.attrs.get("role", "").lower() == "main"
 
@@ -148,12 +155,12 @@ def unwanted(node: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    return node.tag == "header" and not inside(node, ARTICLE)  # an article's own header has its title
+    return node.tag == "header" and not node.inside  # an article's own header has its title
 
 
 def misnamed(node: Node) -> list[bool]:
     """Of each class and the id whether it, as a whole, names something that is no article."""
-    names = NAMES if inside(node, ARTICLE) else NAMES | {"header"}
+    names = CLEAR if node.inside else NAMES | {"header"}
     return [bool(x & names) and x <= names | PLAIN for x in node.named()]
 
 
@@ -168,14 +175,16 @@ def boilerplate(node: Node) -> bool:
 
 
 def walk(node: Node, test, skip=boilerplate) -> Iterator[Node]:
-    """The outermost elements below node that pass the test, not entering those to skip."""
-    for k in node.elements():
+    """The outermost elements below node that pass the test, not entering those to skip, in order."""
+    todo = node.elements()[::-1]
+    while todo:
+        k = todo.pop()
         if skip(k):
             continue
         if test(k):
             yield k
         else:
-            yield from walk(k, test, skip)
+            todo += k.elements()[::-1]
 
 
 def marked(root: Node) -> list[Node]:
@@ -193,214 +202,281 @@ def marked(root: Node) -> list[Node]:
     found = list(walk(root, lambda n: n.tag in ("div", "section", "td") and bool(n.names() & CONTENT)))
     # Articles below an element with some such name among others ("layout sidebar"), if they have more text than all else.
     deep = parts(lambda n: unwanted(n) or (boilerplate(n) and (is_article(n) or all(misnamed(n)))))
-    if deep and sum(map(len, blocks(deep, frozenset()))) > sum(map(len, blocks(found or [root], frozenset()))):
+    if deep and sum(map(len, blocks(deep))) > sum(map(len, blocks(found or [root]))):
         return deep
     return found
 
 
-def own(node: Node) -> tuple[str, ...]:
-    if node.words is None:
-        node.words = tuple(x for k in node.kids if isinstance(k, str) and (x := " ".join(k.split())))
-    return node.words
-
-
-def same_words(a: Node, b: Node) -> bool:
-    """Whether b, of a page, has words that a has, or that pages had there if a is of a template."""
-    words = own(b)
-    return bool(words) and (words in a.seen if a.seen is not None else own(a) == words)
-
-
-def runs(x: list[Node], y: list[Node]) -> Iterator[tuple[Node, Node]]:
-    """Long lists side by side: by their longest common runs of equal names and words, and between these of equal names."""
-    names = lambda k: (k.tag, k.attrs.get("class"))
-    at = [0, 0]
-    for s in SequenceMatcher(None, [(names(k), own(k)) for k in x], [(names(k), own(k)) for k in y], autojunk=False).get_matching_blocks():
-        p, q = x[at[0] : s.a], y[at[1] : s.b]
-        for t in SequenceMatcher(None, [*map(names, p)], [*map(names, q)], autojunk=False).get_matching_blocks():
-            yield from zip(p[t.a : t.a + t.size], q[t.b : t.b + t.size], strict=True)
-        yield from zip(x[s.a : s.a + s.size], y[s.b : s.b + s.size], strict=True)
-        at = [s.a + s.size, s.b + s.size]
-
-
-def matching(a: Node, b: Node, whole: frozenset[int]) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest number of nodes aligned in order, top down, and the pairs. Those of the same words count twice, those in whole have no inside."""
-    one = 1 + same_words(a, b)
-    x, y = a.elements(), b.elements()
-    if not x or not y or id(a) in whole or id(b) in whole:
-        return one, [(a, b)]
-    if len(x) * len(y) > PRODUCT:
-        parts = [matching(p, q, whole) for p, q in runs(x, y)]
-        return one + sum(n for n, _ in parts), [(a, b), *(p for _, ps in parts for p in ps)]
-    right = [(q.tag, own(q), not q.elements(), q) for q in y]
-    best, inner = [[0] * (len(y) + 1)], {}
-    for i, p in enumerate(x):
-        tag, leaf, words = p.tag, not p.elements(), p.seen if p.seen is not None else {own(p)}
-        up, row, last = best[-1], [0], 0
-        for j, (tag_q, words_q, leaf_q, q) in enumerate(right):
-            if up[j + 1] > last:
-                last = up[j + 1]
-            if tag == tag_q:
-                if leaf or leaf_q:  # most pairs: as matching() has it, without the call
-                    n = 2 if words_q and words_q in words else 1
-                else:
-                    n, _ = inner[i, j] = matching(p, q, whole)
-                if up[j] + n > last:
-                    last = up[j] + n
-            row.append(last)
-        best.append(row)
-    i, j, pairs = len(x), len(y), [(a, b)]
-    while i and j:
-        p, q = x[i - 1], y[j - 1]
-        n, inside = inner.get((i - 1, j - 1)) or (1 + same_words(p, q), [(p, q)])
-        if p.tag == q.tag and best[i][j] == best[i - 1][j - 1] + n:
-            pairs += inside
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return one + best[len(x)][len(y)], pairs
+def blocks(tops: list[Node], constant=lambda node: False, skip=boilerplate) -> list[str]:
+    """The text of these nodes, a piece per block: what a constant node itself says, and all below nodes to skip, is left out."""
+    out: list[str] = []
+    part: list[str] = []
+
+    def close() -> None:
+        if part and (text := " ".join(entities.unescape("".join(part)).split())):
+            out.append(text)
+        part.clear()
+
+    for top in tops:
+        todo: list = [(top, not constant(top))]
+        while todo:
+            at, said = todo.pop()
+            if at is None:
+                close()
+            elif isinstance(at, str):
+                if said:
+                    part.append(at)
+            elif at is not top and skip(at):
+                close()
+            else:
+                block = at is not top and at.tag in BLOCK
+                if block:
+                    close()
+                    todo.append((None, False))
+                    said = not constant(at)
+                elif at is not top:
+                    said = not constant(at)
+                todo += [(k, said) for k in reversed(at.kids)]
+        close()
+    return out
 
 
 class Page:
     def __init__(self, page: str | None):
         self.root = parse(page or "")
         self.slots = marked(self.root)
-        self.plain = "\n".join(blocks(self.slots or [self.root], frozenset()))  # what element, role and class leave
+        self.plain = "\n".join(blocks(self.slots or [self.root]))  # what element, role and class leave
 
+    @classmethod
+    def bare(cls, page: str | None) -> Page:
+        """The tree alone."""
+        out = cls.__new__(cls)
+        out.root = parse(page or "")
+        return out
 
-def all_words(node: Node) -> set[tuple[str, ...]]:
-    out, todo = set(), [node]
-    while todo:
-        todo += (node := todo.pop()).elements()
-        out.add(own(node))
-    return out - {()}
 
+ROOT = 1
 
-class Template:
-    """A tree that pages were aligned with, which took in what it lacked, and how many pages of distinct content have which words at its nodes."""
-
-    def __init__(self, pages: list[Page]):
-        distinct = {p.plain: p for p in reversed(pages)}.values()  # copies of an article are one page, else it were template
-        #: So many pages have a template node's words: most, and three at least unless all have. Words of fewer pages need no alignment.
-        self.least = max(2, min(len(distinct), max(3, len(distinct) // 2 + 1)))
-        self.common = {w for w, n in Counter(w for p in distinct for w in all_words(p.root)).items() if n >= self.least}
-        self.root = Node("html", {}, None)
-        self.root.seen, self.root.inner = Counter(), []
-        for p in distinct if self.common else ():
-            at = {id(b): a for a, b in matching(self.root, p.root, frozenset())[1]}
-            todo = [p.root]
-            while todo:
-                node = todo.pop()
-                self.count(at[id(node)], node)
-                last, new = None, {}
-                for k in node.elements():
-                    if id(k) in at:
-                        last = at[id(k)]
-                        todo.append(k)
-                    else:
-                        new.setdefault(id(last), []).append(self.graft(k))
-                if new:
-                    to = at[id(node)]
-                    to.inner = new.get(id(None), []) + [x for k in to.inner for x in (k, *new.get(id(k), ()))]
-
-    @staticmethod
-    def count(to: Node, node: Node) -> None:
-        if words := own(node):
-            to.seen[words] += 1
-        if not to.words or to.seen[words] > to.seen[to.words]:
-            to.words = words
-
-    def graft(self, node: Node) -> Node:
-        to = Node(node.tag, node.attrs, None)
-        to.seen, to.inner = Counter(), [self.graft(k) for k in node.elements()]
-        self.count(to, node)
-        return to
-
-    def constant(self, page: Page) -> frozenset[int]:
-        """The page's nodes that are template."""
-        if not self.common or self.common.isdisjoint(all_words(page.root)):
-            return frozenset()
-        return frozenset(id(b) for a, b in matching(self.root, page.root, frozenset())[1] if a.seen[own(b)] >= self.least)
-
-
-def blocks(tops: list[Node], skip: frozenset[int]) -> list[str]:
-    out: list[str] = []
-    part: list[str] = []
 
-    def close() -> None:
-        if part and (text := " ".join(entities.unescape("".join(part)).split())):
-            out.append(text)
-        part.clear()
+def hashed(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    def run(node: Node, words: bool) -> None:
-        for k in node.kids:
-            if isinstance(k, str):
-                if words:
-                    part.append(k)
-                continue
-            if boilerplate(k):
-                close()
-                continue
-            block = k.tag in BLOCK
-            if block:
-                close()
-            run(k, id(k) not in skip)
-            if block:
-                close()
 
-    for top in tops:
-        run(top, id(top) not in skip)
-        close()
+def aligned(root: Node, known: dict) -> dict[int, list[Node]]:
+    """The page's nodes by what they stand for: the path of labels that leads to them. Sets each node's path.
+
+    Siblings of one label are one repeated node, and siblings are in the order of their labels. Of two trees in
+    this form, simple tree matching pairs, at each node that it has paired, the children of equal labels: no other matching of
+    their lists pairs more. So to align a page with all pages of its host is to look up its paths.
+    """
+    root.path = ROOT
+    out, todo = {ROOT: [root]}, [root]
+    while todo:
+        node = todo.pop()
+        for k in node.elements():
+            key = (node.path, k.label())
+            if key not in known:
+                known[key] = hashed(*key)
+            k.path = known[key]
+            out.setdefault(k.path, []).append(k)
+            todo.append(k)
     return out
 
 
-def main_text(page: Page, template: Template) -> tuple[str, int]:
-    """The page's content and how many of its nodes are template."""
-    skip = template.constant(page)
-    text = "\n".join(blocks(page.slots or [page.root], skip)) if skip else page.plain
-    return page.plain if page.slots and 2 * len(text) < len(page.plain) else text, len(skip)
+def statistics(page: Page, known: dict) -> Iterator[tuple]:
+    """(path, parent, label, key, times, chars, links): a row for each path, with key null, and one for each different words at each path.
+
+    key stands for the words and the path; chars are those of the words, links those of them inside a link.
+    """
+    for path, nodes in aligned(page.root, known).items():
+        first = nodes[0]
+        yield path, first.up.path if first.up else 0, first.label(), None, len(nodes), 0, 0
+        said: dict[tuple[str, ...], list[int]] = {}
+        for n in nodes:
+            if words := n.words():
+                size, up = sum(map(len, words)), n
+                while up is not None and up.tag != "a" and up.tag not in BLOCK:
+                    up = up.up
+                x = said.setdefault(words, [0, 0])
+                x[0] += size
+                x[1] += size if up is not None and up.tag == "a" else 0
+        for words, (chars, links) in said.items():
+            yield path, 0, "", hashed(path, words), 0, chars, links
+
+
+#: Elements that hold blocks and have no text of their own as a rule; an article's text is inside one of them.
+BOXES = frozenset("html body main article section div td tr tbody table center form dl dd ul ol li fieldset header footer aside nav layer frameset".split())
+
+
+class Template:
+    """What the pages of a host have in common: nodes that most of them have, the words there that most of them have, and of the slots the one that is the content.
 
+    nodes: (path, parent, label, times a page, chars, links) with the chars of varying words alone; constants: keys of words.
+    """
 
+    def __init__(self, nodes: list[tuple], constants: list[int]):
+        self.constants = frozenset(constants)
+        self.below: dict[int, list[tuple]] = {}
+        for n in nodes:
+            self.below.setdefault(n[1], []).append(n)
+        self.mass: dict[int, int] = {}
+        self.linked: dict[int, int] = {}
+        for path, _, _, _, chars, links in self.upward():
+            self.mass[path] = chars - links + sum(self.mass[k[0]] for k in self.below.get(path, ()))
+            self.linked[path] = links + sum(self.linked[k[0]] for k in self.below.get(path, ()))
+        self.content, self.boxed = self.region()  # boxed: not the whole body
+        self.menus = self.furniture()
+
+    def upward(self) -> list[tuple]:
+        """The nodes below the root, and it, children before parents."""
+        out, todo = [], list(self.below.get(0, ()))
+        while todo:
+            n = todo.pop()
+            out.append(n)
+            todo += self.below.get(n[0], ())
+        return out[::-1]
+
+    def region(self) -> tuple[int, bool]:
+        """The slot with the article: from the root down, the one box with most of the varying text that is no link, as long as there is one.
+
+        A box that pages have several of is a list of blocks and ends the way; so do blocks. Where no box has most of it, a part
+        that its element marks as the article breaks the tie; what its element or names mark as something else is never followed.
+        """
+        at, boxed = ROOT, False
+        while True:
+            boxes = [k for k in self.below.get(at, ()) if k[2].split(".")[0] in BOXES and k[3] <= 1.5 and not boilerplate(stub(k[2]))]
+            most = [k for k in boxes if 2 * self.mass[k[0]] > self.mass[at]] or [k for k in boxes if is_main(stub(k[2])) or is_article(stub(k[2]))]
+            if len(most) != 1 or not self.mass[most[0][0]]:
+                return at, boxed
+            at, boxed = most[0][0], most[0][2].split(".")[0] != "body"
+
+    def furniture(self) -> frozenset[int]:
+        """Paths inside the content that are none of it: boxes with more varying text in links than besides, and those that their names tell."""
+        out, todo = set(), list(self.below.get(self.content, ()))
+        while todo:
+            path, _, label, _, _, _ = n = todo.pop()
+            named = any(misnamed(stub(label)))
+            if named or (n[2].split(".")[0] in BOXES and self.linked[path] > self.mass[path] and len(self.below.get(path, ())) > 0):
+                out.add(path)
+            else:
+                todo += self.below.get(path, ())
+        return frozenset(out)
+
+
+def stub(label: str) -> Node:
+    """A node of that label alone."""
+    tag, _, name = label.partition(".")
+    return Node(tag, {"class": name} if name else {}, None)
+
+
+def least(n: int) -> int:
+    """So many of n distinct pages have what is template: most, and three at least unless all have."""
+    return max(2, min(n, max(3, n // 2 + 1)))
+
+
+def main_text(page: Page, template: Template | None, known: dict | None = None) -> tuple[str, int]:
+    """The page's content, and how many of its nodes are template: constant, or outside of what the template has for content.
+
+    Without a template, where the page lacks the content's slot, or where that is empty, what the page marks itself is its content.
+    """
+    if template is None:
+        return page.plain, 0
+    paths = aligned(page.root, {} if known is None else known)
+    tops = paths.get(template.content, [])
+    constant = lambda n: bool(template.constants) and bool(w := n.words()) and hashed(n.path, w) in template.constants
+    skip = lambda n: n.path in template.menus or unwanted(n) or any(x & CLEAR and x <= CLEAR | PLAIN for x in n.named())
+    whole = blocks(tops, skip=skip)
+    text, all_ = "\n".join(blocks(tops, constant, skip)), "\n".join(whole)
+    if template.boxed and 2 * len(text) < len(all_):
+        text = all_  # a copied article
+    held, todo = 0, list(tops)
+    while todo:
+        n = todo.pop()
+        if not constant(n):
+            held += 1
+        todo += [k for k in n.elements() if not skip(k)]
+    count = sum(map(len, paths.values())) - held
+    return (text, count) if text else (page.plain, 0)
+
+
+STATISTICS = "host string, digest long, path long, parent long, label string, key long, times int, chars long, links long"
 SCHEMA = "page_id long, url string, text string, n_chars long, template_nodes int"
+#: Paths whose hashes a worker keeps.
+KNOWN = 1 << 18
+
+
+def induced(pages: DataFrame) -> DataFrame:
+    """host, nodes, constants: the template of each host that has two distinct pages or more (pages: host, html).
+
+    Figures are sums over all pages of a host, copies once, wherever they are read; what a template keeps is what over half of the pages have, so it
+    is no larger than two average pages.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = b.slice(at, 256)
+                out = [[] for _ in range(9)]
+                for host, html in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist(), strict=True):
+                    if len(known) > KNOWN:
+                        known.clear()
+                    digest = hashed(html)
+                    for row in statistics(Page.bare(html), known):
+                        for column, x in zip(out, (host, digest, *row), strict=True):
+                            column.append(x)
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in STATISTICS.split(", ")])
+
+    rows = pages.filter("host <> ''").select("host", "html").mapInArrow(run, STATISTICS)
+    counted = rows.groupBy("host", "path", "key").agg(F.count_distinct("digest").alias("pages"), F.min("parent").alias("parent"), F.min("label").alias("label"), F.sum("times").alias("times"), F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    counted = stored(counted, "counted")
+    total = counted.filter((F.col("path") == ROOT) & F.col("key").isNull() & (F.col("pages") > 1)).select("host", F.col("pages").alias("of"))
+    most = F.greatest(F.lit(2), F.least("of", F.greatest(F.lit(3), F.expr("of div 2 + 1"))))
+    kept = counted.join(total, "host").withColumn("common", F.col("pages") >= most)
+    words = kept.filter("key IS NOT NULL").groupBy("host", "path").agg(F.sum(F.when(~F.col("common"), F.col("chars"))).alias("chars"), F.sum(F.when(~F.col("common"), F.col("links"))).alias("links"), F.collect_list(F.when(F.col("common"), F.col("key"))).alias("constants"))
+    nodes = kept.filter("key IS NULL AND common").select("host", "path", "parent", "label", (F.col("times") / F.col("n")).alias("times"))
+    each = nodes.join(words, ["host", "path"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    node = F.struct("path", "parent", "label", "times", zero("chars"), zero("links"))
+    return each.groupBy("host").agg(F.sort_array(F.collect_list(node)).alias("nodes"), F.array_sort(F.flatten(F.collect_list(F.coalesce("constants", F.expr("cast(array() AS array<bigint>)"))))).alias("constants"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and template_nodes of each page.
 
-    Large hosts are dealt out in parts, each with a template of its own.
+    Templates of the at most HOT_PARTS hosts with a thousandth of all pages or more are broadcast, and their pages stay where
+    they are; pages of other hosts meet their template in a shuffle join.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     p = pages.select("page_id", "url", "html", host.alias("host"))
     counts = stored(p.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    part_pages = max(PART_PAGES, -(-total // PARTS))
-    hot = counts.filter(F.col("n") > part_pages).select(F.col("host").alias("__host"), F.expr(f"(n + {part_pages - 1}) div {part_pages}").alias("parts"))
-    order = F.xxhash64("page_id", "html")
-    p = p.join(F.broadcast(hot), F.col("host") == F.col("__host"), "left").withColumn("order", order)
-    p = p.withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.col("order"), "parts")).otherwise(F.lit(0)))
+    hot = stored(hot_keys(counts).select(F.col("host").alias("hot")), "hot")
+    templates = stored(induced(p), "templates")
+    often = templates.join(F.broadcast(hot), F.col("host") == F.col("hot"))
+    seldom = templates.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left_anti")
+    given = F.broadcast(hot.join(often.drop("hot"), F.col("hot") == F.col("host"), "left").select(F.col("hot").alias("host"), "nodes", "constants"))
+    here = p.join(given, "host").select("page_id", "url", "html", "host", "nodes", "constants")
+    rest = p.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left_anti").join(seldom.hint("merge"), "host", "left").select("page_id", "url", "html", "host", "nodes", "constants")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, waiting, known = None, [], {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            template = Template([*known.values()])
-            done = {k: main_text(p, template) for k, p in known.items()}
-            for at in range(0, len(waiting), 64):
-                columns = list(zip(*((i, u, done[k][0], len(done[k][0]), done[k][1]) for i, u, k in waiting[at : at + 64]), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["page_id", "url", "text", "n_chars", "template_nodes"])
-
+        known: dict = {}
+        templates: dict[str, Template | None] = {}
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                rows = b.slice(at, 64)
-                for host, part, page_id, url, page in zip(*(rows.column(c).to_pylist() for c in ("host", "part", "page_id", "url", "html")), strict=True):
-                    if (host, part) != key:
-                        yield from out()
-                        key, waiting, known = (host, part), [], {}
-                    digest = hashlib.blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    if digest not in known:  # copies are parsed once
-                        known[digest] = Page(page)
-                    waiting.append((page_id, url, digest))
-        yield from out()
-
-    return p.select("page_id", "url", "html", "host", "part", "order").repartition("host", "part").sortWithinPartitions("host", "part", "order").select("page_id", "url", "html", "host", "part").mapInArrow(run, SCHEMA)
+                rows, out = b.slice(at, 64), []
+                hosts = rows.column("host").to_pylist()
+                for k, (page_id, url, html, host) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("page_id", "url", "html")), hosts, strict=True)):
+                    if host not in templates:
+                        if len(templates) > 1000:
+                            templates.clear()
+                        nodes = rows.column("nodes")[k].as_py()
+                        templates[host] = None if nodes is None else Template([tuple(n.values()) for n in nodes], rows.column("constants")[k].as_py())
+                    if len(known) > KNOWN:
+                        known.clear()
+                    text, n = main_text(Page(html), templates[host], known)
+                    out.append((page_id, url, text, len(text), n))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["page_id", "url", "text", "n_chars", "template_nodes"])
+
+    return here.unionByName(rest).mapInArrow(run, SCHEMA)
