@@ -91,13 +91,12 @@ def test_deep_trees(spark):
 
 def test_very_deep_trees(spark):
     """5000 levels: no cycle as a chain, all on one as a ring."""
-    deep = spark.createDataFrame(chain(5000), ELEMENT)
-    assert model.on_cycles(deep).count() == 0
-    broken = spark.createDataFrame([r if r[1] != "e0" else (1, "e0", "e4999", 1, "paragraph", "x", None) for r in chain(5000)], ELEMENT)
-    assert model.on_cycles(broken).count() == 5000
+    ring = [r if r[1] != "e0" else (2, "e0", "e4999", 1, "paragraph", "x", None) for r in chain(5000, 2)]
+    got = model.on_cycles(spark.createDataFrame(chain(5000) + ring, ELEMENT)).groupBy("doc_id").count().collect()
+    assert [tuple(r) for r in got] == [(2, 5000)]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+@pytest.mark.parametrize("n", [1, 3])
 def test_cycles_with_tails(spark, n):
     """Only the elements of a cycle are on it; all that lead to it are unreachable, and their ancestors end where it begins."""
     ring = [(2, f"r{k}", f"r{(k + 1) % n}", k, "paragraph", "x", None) for k in range(n)]

@@ -43,3 +43,16 @@ def test_escapes_of_whole_texts(spark):
     for i, d in docs.items():
         assert got[i].html == d.text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         assert got[i].pipe == re.sub("\r\n|\r|\n", "<br>", d.text.replace("|", "\\|"))
+
+
+def test_shared_folder(spark):
+    """What is stored is below the shared folder, as a URI, and can be cleaned away."""
+    from pathlib import Path
+
+    from quireflow import lineage
+
+    df = lineage.stored(spark.range(3).toDF("x"))
+    at = lineage.session_dir(spark)
+    assert df.count() == 3 and at.startswith("file:") and all(f.startswith("file:") for f in df.inputFiles())
+    lineage.clean(spark)
+    assert not Path(at.removeprefix("file://").removeprefix("file:")).exists()
