@@ -6,7 +6,9 @@ adaptation fields. read() parses the tables to find the stream, checks continuit
 and gives the time stamps with the random-access points.
 
 Defined results: null text is the empty text (192 spaces are stored); read(None) finds nothing; bytes that
-are no packets, or sections with a wrong CRC, are counted as errors and skipped, never raised.
+are no packets, or sections with a wrong CRC, are counted as errors and skipped, never raised; repeated rows get a row each, and
+so do rows without doc_id; an empty table gives an empty result. A text is held in memory whole, with its packets, so a very
+long one costs a task about three times its length. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

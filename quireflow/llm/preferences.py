@@ -8,7 +8,9 @@ Defined results: turns are in the order of turn (null first), then role and text
 repeated rows are turns of their own; rows without conv_id belong to no conversation and are left out; of the conversations
 with an opening, each has one partner at most; the odd one, and one whose opening nobody shares, has a row with no rejected
 side, its last assistant turn as completion and all before as prompt (no assistant turn: all is prompt). Where one
-conversation continues the other, the shorter one's completion is empty; for equal ones both are.
+conversation continues the other, the shorter one's completion is empty; for equal ones both are. An empty table gives an
+empty result; very long texts and conversations are rendered whole, a conversation in one task; only conv_id, turn, role and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ joins neighbouring ranges to one read, and parses the records.
 
 Defined results: null html is an empty payload; a payload of which no copy has a page_id is all responses, and a null
 page_id is after all others; rows that repeat the least page_id of a payload are responses too; a null or odd url is
-stored percent-encoded (null: no header) and comes back from the index unchanged.
+stored percent-encoded (null: no header) and comes back from the index unchanged; an empty table gives no archive and no
+row. A page is held in memory whole, so a very long one costs a task its own length; archives end after ARCHIVE_BYTES, with
+the page that reaches them. Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -154,7 +156,4 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """All pages written as archives in a new shared folder and read back by the index."""
-    folder = shared_dir(pages.sparkSession)
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    return read(write(pages, f"{folder}/warc", min_bytes), with_payload=False)
+    return read(write(pages, f"{shared_dir(pages.sparkSession)}/warc", min_bytes), with_payload=False)

@@ -97,3 +97,34 @@ def test_odd_and_empty(odd, empty, model):
 def test_without_labels(spark):
     d = spark.createDataFrame([(1, "text", None)], "doc_id LONG, text STRING, lang STRING")
     assert [(r.lang_pred, r.rejected) for r in langid.predict(d).collect()] == [("und", True)]
+
+
+def test_equal_texts_wherever_they_stand(model):
+    """A text's cross-entropies do not depend on the texts around it."""
+    t = german(3) + " " + sentence(4)
+    runs = [[t], [sentence(1)] * 7 + [t], [None, "x", t, sentence(2)], [sentence(5, 4000), t]]
+    got = [[h.tolist() for _, h in langid.Scorer(model)(iter(r))][r.index(t)] for r in runs]
+    assert all(h == got[0] for h in got)
+
+
+def test_whole_query_by_brute_force(corpus, model):
+    """Each document's language, score and rejection from probabilities in dictionaries, on the query's own sample."""
+    rows = langid.sample(corpus, langid.DOCS_PER_LANGUAGE).collect()
+    grams = {}
+    for r in rows:
+        if not r.calibrate:
+            t = "\x02\x02\x02" + "".join(map(chr, langid.letters(r.text)))
+            grams.setdefault(r.lang, langid.Counter()).update(t[k : k + 4] for k in range(len(t) - 3))
+    alphabet = len({g[-1] for c in grams.values() for g in c}) + 1
+    models = {x: langid.KneserNey(c, 4, alphabet) for x, c in grams.items()}
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    for r in langid.predict(corpus, model).collect():
+        t = "".join(map(chr, langid.letters(texts[r.doc_id])))
+        padded = "\x02\x02\x02" + t
+        h = {x: -sum(math.log(m.prob(padded[k : k + 4])) for k in range(len(t))) / len(t) for x, m in models.items()}
+        best = min(sorted(h), key=h.get)
+        assert r.lang_pred == best and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.cross_entropy == pytest.approx(h[best], rel=1e-4)
+        assert r.score == pytest.approx(1 / sum(math.exp(-(x - h[best]) * min(len(t), langid.EVIDENCE)) for x in h.values()), rel=1e-3)
+        mean, mixed = model["calibration"][best]
+        assert r.rejected == (h[best] > (mean + mixed) / 2 and (h[best] - mean) * min(len(t), 400) ** 0.5 > langid.WIDTH)

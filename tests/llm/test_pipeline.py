@@ -2,6 +2,7 @@ import corpus_pipeline
 import pytest
 
 from quireflow.llm import decontaminate, langid, lines, mixing, simhash
+from quireflow.llm.common import stored
 
 from conftest import sentence
 
@@ -54,5 +55,22 @@ def test_stages_on_nothing(spark, folder):
         assert stage(spark, docs, folder).count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, ties, repeated rows, a very long text and clashing names through all stages: each keeps some of the rows before, all with their other columns as they were."""
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, sentence(2)), (None, None)], "item_id LONG, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, before = odd, None
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == 4 or out.columns == odd.columns
+        ids = [r.doc_id for r in out.collect()]
+        assert before is None or set(ids) <= set(before)
+        assert {r[c] for r in out.select("h", "__kept", "found").collect() for c in ("h", "__kept", "found")} <= {"x"}
+        docs = stored(out)
+        before = ids
+    assert 7 in before and 4 not in before and None not in before  # the long text stays; a null one goes, and the text that is the benchmark's
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_each_stage_calls_its_operator():
     assert all(callable(f) for f in (langid.accepted, lines.dedup, simhash.dedup, decontaminate.decontaminate, mixing.mixed))
