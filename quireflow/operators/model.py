@@ -41,18 +41,16 @@ def parents(elements: DataFrame) -> DataFrame:
     return up.join(elements.select("doc_id", F.col("id").alias("ancestor_id")), ["doc_id", "ancestor_id"], "left_semi").select("doc_id", "id", "ancestor_id")
 
 
-def closure(elements: DataFrame) -> DataFrame:
-    """(doc_id, id, ancestor_id, distance): every element's ancestors, nearest at distance 1, however deep the tree.
+def closure(elements: DataFrame, rings: DataFrame | None = None) -> DataFrame:
+    """(doc_id, id, ancestor_id, distance): every element's ancestors, nearest at distance 1, however deep the tree. rings is on_cycles(elements), where it is at hand.
 
     Path lengths double: with ancestors up to 2^k known, those up to 2^(k+1) come of one join, so depth d takes log2(d) joins.
     Elements on a cycle have no ancestors, those below one have the ancestors up to its first element: if an element
     meets itself, which is seen as soon as the paths are as long as the cycle, the cycle's links are taken out and the work begins anew.
     """
     up = parents(elements)
-    try_ = _closure(up)
-    if try_ is None:
-        try_ = _closure(up.join(on_cycles(elements), ["doc_id", "id"], "left_anti"))
-    return try_
+    found = _closure(up) if rings is None else None
+    return found or _closure(up.join(rings if rings is not None else on_cycles(elements), ["doc_id", "id"], "left_anti"))
 
 
 def _closure(up: DataFrame) -> DataFrame | None:

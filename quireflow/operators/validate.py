@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions.scalars import a1_bounds, inside
+from quireflow.lineage import stored
 from quireflow.operators import model
 from quireflow.operators.tables import SAFE_ID, covered
 
@@ -34,6 +35,7 @@ def missing(refs: DataFrame, known: DataFrame, ref: str, column: str, code: str)
 
 def element_issues(elements: DataFrame) -> DataFrame:
     """Ids, root, parents, reachability and cycles."""
+    rings = stored(model.on_cycles(elements), "rings")
     roots = elements.filter(F.col("id") == model.ROOT)
     docs = elements.select("doc_id").distinct()
     return _union(
@@ -42,8 +44,8 @@ def element_issues(elements: DataFrame) -> DataFrame:
         issue(roots.filter((F.col("type") != "document") | F.col("parent_id").isNotNull()), "ROOT_INVALID"),
         issue(elements.filter((F.col("id") != model.ROOT) & F.col("parent_id").isNull()), "PARENT_MISSING"),
         missing(elements, elements, "parent_id", "id", "PARENT_UNKNOWN"),
-        issue(model.unreachable(elements), "ELEMENT_UNREACHABLE"),
-        issue(model.on_cycles(elements), "ELEMENT_CYCLE"),
+        issue(model.unreachable(elements, model.closure(elements, rings)), "ELEMENT_UNREACHABLE"),
+        issue(rings, "ELEMENT_CYCLE"),
     )
 
 

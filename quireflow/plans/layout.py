@@ -97,10 +97,10 @@ def table_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
   t AS (SELECT o.doc_id, o.page, o.line, o.idx, arg_min(w.bin, (abs(center - x0), w.bin)) AS bin, min(abs(center - x0)) AS far FROM o JOIN w ON w.doc_id = o.doc_id AND w.page = o.page GROUP BY ALL),
   u AS (SELECT doc_id, page, line, count(DISTINCT bin) FILTER (far <= 28) AS hits, count(*) FILTER (far > 28) AS orphans FROM t GROUP BY ALL),
   h AS (SELECT doc_id, page, count(*) AS n_rows, avg((hits >= 2)::INT) AS aligned, avg((hits < 2)::INT) AS irregular, sum(orphans)::BIGINT AS orphans FROM u JOIN k USING (doc_id, page) WHERE columns >= 2 GROUP BY doc_id, page),
-  d AS (SELECT doc_id, page, coalesce(columns, 0) AS columns, coalesce(n_rows, 0) AS n_rows, coalesce(aligned, 0)::DOUBLE AS aligned, coalesce(irregular, 1)::DOUBLE AS irregular, coalesce(orphans, 0)::BIGINT AS orphans FROM (SELECT DISTINCT doc_id, page FROM b) LEFT JOIN k USING (doc_id, page) LEFT JOIN h USING (doc_id, page)),
+  g AS (SELECT doc_id, page, coalesce(columns, 0) AS columns, coalesce(n_rows, 0) AS n_rows, coalesce(aligned, 0)::DOUBLE AS aligned, coalesce(irregular, 1)::DOUBLE AS irregular, coalesce(orphans, 0)::BIGINT AS orphans FROM (SELECT DISTINCT doc_id, page FROM b) LEFT JOIN k USING (doc_id, page) LEFT JOIN h USING (doc_id, page)),
   c AS (SELECT *, greatest(0, least(1, 0.30::DOUBLE + 0.35::DOUBLE * aligned + 0.15::DOUBLE * least(columns / 3, 1) + 0.10::DOUBLE * least(n_rows / 4, 1) - 0.35::DOUBLE * irregular)) AS score,
     list_filter([CASE WHEN n_rows < 3 THEN 'OCR_TABLE_INSUFFICIENT_ROWS' END, CASE WHEN columns < 2 OR aligned < 0.75 THEN 'OCR_TABLE_COLUMN_INCONSISTENT' END, CASE WHEN irregular > 0.25 THEN 'OCR_TABLE_IRREGULAR_ROWS' END,
-      CASE WHEN orphans > 0 THEN 'OCR_TABLE_ORPHAN_TOKEN' END, CASE WHEN n_rows = 0 THEN 'OCR_TABLE_EMPTY' END], lambda x: x IS NOT NULL) AS codes FROM d)
+      CASE WHEN orphans > 0 THEN 'OCR_TABLE_ORPHAN_TOKEN' END, CASE WHEN n_rows = 0 THEN 'OCR_TABLE_EMPTY' END], lambda x: x IS NOT NULL) AS codes FROM g)
   SELECT doc_id, page, columns, n_rows AS "rows", round_even(aligned, 3) AS aligned_row_ratio, 0.0::DOUBLE AS key_value_pattern_ratio, round_even(irregular, 3) AS irregular_row_ratio, 0.0::DOUBLE AS numeric_column_ratio, orphans, round_even(score, 3) AS confidence,
     CASE WHEN len(codes) = 0 AND score >= 0.6 THEN 'accepted' ELSE 'fallback_to_text' END AS decision,
     array_to_string(codes || CASE WHEN len(codes) = 0 AND score >= 0.6 THEN ['OCR_TABLE_CANDIDATE_ACCEPTED'] ELSE ['OCR_TABLE_LOW_CONFIDENCE', 'OCR_TABLE_REJECTED', 'OCR_TABLE_FALLBACK_TO_TEXT'] END, ',') AS reason_codes FROM c""")
