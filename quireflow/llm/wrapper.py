@@ -16,17 +16,18 @@ cut off or wrongly nested is repaired as far as browsers' rules for implied ends
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import hot_keys, stored
+from quireflow.llm.common import hot_keys, lookup, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -244,22 +245,18 @@ def blocks(tops: list[Node], constant=lambda node: False, skip=boilerplate) -> l
 class Page:
     def __init__(self, page: str | None):
         self.root = parse(page or "")
-        self.slots = marked(self.root)
-        self.plain = "\n".join(blocks(self.slots or [self.root]))  # what element, role and class leave
 
-    @classmethod
-    def bare(cls, page: str | None) -> Page:
-        """The tree alone."""
-        out = cls.__new__(cls)
-        out.root = parse(page or "")
-        return out
+    @cached_property
+    def plain(self) -> str:
+        """What element, role and class leave."""
+        return "\n".join(blocks(marked(self.root) or [self.root]))
 
 
 ROOT = 1
 
 
-def hashed(*parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def hashed(at: int, *parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"), at & (1 << 64) - 1) - (1 << 63)
 
 
 def aligned(root: Node, known: dict) -> dict[int, list[Node]]:
@@ -301,7 +298,7 @@ def statistics(page: Page, known: dict) -> Iterator[tuple]:
                 x[0] += size
                 x[1] += size if up is not None and up.tag == "a" else 0
         for words, (chars, links) in said.items():
-            yield path, 0, "", hashed(path, words), 0, chars, links
+            yield path, 0, "", hashed(path, *words), 0, chars, links
 
 
 #: Elements that hold blocks and have no text of their own as a rule; an article's text is inside one of them.
@@ -383,20 +380,20 @@ def main_text(page: Page, template: Template | None, known: dict | None = None)
         return page.plain, 0
     paths = aligned(page.root, {} if known is None else known)
     tops = paths.get(template.content, [])
-    constant = lambda n: bool(template.constants) and bool(w := n.words()) and hashed(n.path, w) in template.constants
+    constant = lambda n: bool(w := n.words()) and hashed(n.path, *w) in template.constants
     skip = lambda n: n.path in template.menus or unwanted(n) or any(x & CLEAR and x <= CLEAR | PLAIN for x in n.named())
-    whole = blocks(tops, skip=skip)
-    text, all_ = "\n".join(blocks(tops, constant, skip)), "\n".join(whole)
-    if template.boxed and 2 * len(text) < len(all_):
-        text = all_  # a copied article
-    held, todo = 0, list(tops)
+    text = whole = "\n".join(blocks(tops, skip=skip))
+    held, todo, fixed = 0, list(tops), 0
     while todo:
         n = todo.pop()
-        if not constant(n):
-            held += 1
-        todo += [k for k in n.elements() if not skip(k)]
-    count = sum(map(len, paths.values())) - held
-    return (text, count) if text else (page.plain, 0)
+        held += 1
+        fixed += n.path in template.menus or (bool(template.constants) and constant(n))
+        todo += n.elements()
+    if fixed and template.constants:
+        text = "\n".join(blocks(tops, constant, skip))
+        if template.boxed and 2 * len(text) < len(whole):
+            text = whole  # a copied article
+    return (text, sum(map(len, paths.values())) - held + fixed) if text else (page.plain, 0)
 
 
 STATISTICS = "host string, digest long, path long, parent long, label string, key long, times int, chars long, links long"
@@ -421,19 +418,20 @@ def induced(pages: DataFrame) -> DataFrame:
                 for host, html in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist(), strict=True):
                     if len(known) > KNOWN:
                         known.clear()
-                    digest = hashed(html)
-                    for row in statistics(Page.bare(html), known):
-                        for column, x in zip(out, (host, digest, *row), strict=True):
-                            column.append(x)
+                    rows_ = list(zip(*statistics(Page(html), known), strict=True))
+                    out[0] += [host] * len(rows_[0])
+                    out[1] += [hashed(0, html or "")] * len(rows_[0])
+                    for column, x in zip(out[2:], rows_, strict=True):
+                        column += x
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in STATISTICS.split(", ")])
 
     rows = pages.filter("host <> ''").select("host", "html").mapInArrow(run, STATISTICS)
     counted = rows.groupBy("host", "path", "key").agg(F.count_distinct("digest").alias("pages"), F.min("parent").alias("parent"), F.min("label").alias("label"), F.sum("times").alias("times"), F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     counted = stored(counted, "counted")
-    total = counted.filter((F.col("path") == ROOT) & F.col("key").isNull() & (F.col("pages") > 1)).select("host", F.col("pages").alias("of"))
+    total = counted.groupBy("host").agg(F.max(F.when((F.col("path") == ROOT) & F.col("key").isNull(), F.col("pages"))).alias("of"), F.count("*").alias("rows"))
     most = F.greatest(F.lit(2), F.least("of", F.greatest(F.lit(3), F.expr("of div 2 + 1"))))
-    kept = counted.join(total, "host").withColumn("common", F.col("pages") >= most)
+    kept = lookup(counted, stored(total, "total"), "host", F.xxhash64("path", "key"), "inner", "rows").filter("of > 1").withColumn("common", F.col("pages") >= most)
     words = kept.filter("key IS NOT NULL").groupBy("host", "path").agg(F.sum(F.when(~F.col("common"), F.col("chars"))).alias("chars"), F.sum(F.when(~F.col("common"), F.col("links"))).alias("links"), F.collect_list(F.when(F.col("common"), F.col("key"))).alias("constants"))
     nodes = kept.filter("key IS NULL AND common").select("host", "path", "parent", "label", (F.col("times") / F.col("n")).alias("times"))
     each = nodes.join(words, ["host", "path"], "left")

@@ -17,7 +17,7 @@ def induced(htmls):
     """The template of a host's pages, made in memory."""
     known, nodes, words = {}, defaultdict(lambda: [set(), 0, 0, None, None]), defaultdict(lambda: [set(), 0, 0])
     for h in htmls:
-        for path, parent, label, key, times, chars, links in wrapper.statistics(wrapper.Page.bare(h), known):
+        for path, parent, label, key, times, chars, links in wrapper.statistics(wrapper.Page(h), known):
             x = nodes[path] if key is None else words[path, key]
             x[0].add(h)
             x[1] += times if key is None else chars
