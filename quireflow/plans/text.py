@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import scalars
 from quireflow.operators import chunk, diff, quality, review, score
-from quireflow.plans.registry import ORACLES, query, table
+from quireflow.plans.registry import query, table
 
 CHUNKS_SQL = """
 cut AS (
@@ -63,21 +63,11 @@ def duplicate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.duplicates(table(spark, sf_dir, "documents"), "lang")
 
 
-@query("""WITH p AS (SELECT doc_id, text, '[heading_path: ' || lang || ' > ' || source || ']' AS a, '[section_element_id: doc-' || doc_id || ']' AS b FROM documents WHERE length(text) <= 2000),
-  q AS (SELECT *, length(a) + 2 + length(text) <= 2000 AS ok FROM p),
-  r AS (SELECT *, CASE WHEN ok AND length(a) + 1 + length(b) + 2 + length(text) <= 2000 THEN a || chr(10) || b WHEN ok THEN a WHEN length(b) + 2 + length(text) <= 2000 THEN b ELSE '' END AS kept FROM q)
-  SELECT doc_id, CASE WHEN kept = '' THEN '' ELSE kept || chr(10) || chr(10) END AS context_prefix, kept <> a || chr(10) || b AS context_truncated, (length(text) + CASE WHEN kept = '' THEN 0 ELSE length(kept) + 2 END)::INT AS embedding_char_count FROM r""")
-def context_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context lines of documents that are one chunk, as far as there is room."""
-    d = table(spark, sf_dir, "documents").filter(F.length("text") <= chunk.LIMIT)
-    return _in_context(d).select("doc_id", "context_prefix", "context_truncated", "embedding_char_count")
-
-
 @query(f"""WITH RECURSIVE {CHUNKS_SQL}, p AS (SELECT doc_id, chunk_index, chunks.text, '[heading_path: ' || lang || ' > ' || source || ']' AS a, '[section_element_id: doc-' || doc_id || ']' AS b FROM chunks JOIN documents USING (doc_id)),
   q AS (SELECT *, length(a) + 2 + length(text) <= 2000 AS ok FROM p),
   r AS (SELECT *, CASE WHEN ok AND length(a) + 1 + length(b) + 2 + length(text) <= 2000 THEN a || chr(10) || b WHEN ok THEN a WHEN length(b) + 2 + length(text) <= 2000 THEN b ELSE '' END AS kept FROM q)
   SELECT doc_id, chunk_index::INT AS chunk_index, CASE WHEN kept = '' THEN '' ELSE kept || chr(10) || chr(10) END AS context_prefix, kept <> a || chr(10) || b AS context_truncated, (length(text) + CASE WHEN kept = '' THEN 0 ELSE length(kept) + 2 END)::INT AS embedding_char_count FROM r""")
-def context_prefixes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context lines of each chunk of every document."""
     c = _in_context(_chunks(spark, sf_dir))
     return c.select("doc_id", (F.col("no") + 1).alias("chunk_index"), "context_prefix", "context_truncated", "embedding_char_count")
@@ -141,18 +131,12 @@ def review_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", "policy_status", "priority", F.array_join("reason_codes", ",").alias("reasons"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '\d', '', 'g') AS got FROM documents WHERE doc_id % 2 = 0),
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '\d', '', 'g') AS got FROM documents),
   e AS (SELECT doc_id, list_distinct(regexp_extract_all(text, 'https?://[^\s)\]>]+|\b\d{4}-\d{2}-\d{2}\b|\b\d{2,3}年\d{1,2}月\d{1,2}日|\btable-[A-Za-z0-9._-]+\b|\$[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?%|\b\d+(?:\.\d+)?\b')) AS a,
     regexp_extract_all(got, 'https?://[^\s)\]>]+|\b\d{4}-\d{2}-\d{2}\b|\btable-[A-Za-z0-9._-]+\b|\$[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?%|\b\d+(?:\.\d+)?\b') AS b FROM t)
   SELECT doc_id, len(a)::INT AS n_tokens, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS n_lost FROM e""")
 def token_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Protected tokens that texts lose when their digits go."""
-    return _preserved(table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0))
-
-
-@query(ORACLES["token_preservation"].replace(" WHERE doc_id % 2 = 0", ""))
-def token_preservation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token_preservation over all documents."""
     return _preserved(table(spark, sf_dir, "documents"))
 
 
@@ -163,15 +147,9 @@ def _preserved(d: DataFrame) -> DataFrame:
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) > len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) AS latin, len(regexp_extract_all(text, '[\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f]'))::INT AS mojibake,
   regexp_matches(text, '(?i)<\s*/?\s*(?:script|iframe|object|embed|style|svg)\b|(?:javascript|vbscript|data)\s*:|\b(?:python|shell|bash|powershell|cmd|file)\s*[:(]|(?:\.\.?[/\\]|/etc/|file://)') AS unsafe,
-  replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, regexp_replace(replace(substr(text, 1, 200), '|', '\|'), '\r\n|\r|\n', '<br>', 'g') AS pipe FROM documents""")
+  replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, regexp_replace(replace(text, '|', '\|'), '\r\n|\r|\n', '<br>', 'g') AS pipe FROM documents""")
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters, predicates and escapes."""
-    return _flags(table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
-
-
-@query(ORACLES["text_flags"].replace("substr(text, 1, 200)", "text"))
-def text_flags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """text_flags with the escapes of whole texts."""
     return _flags(table(spark, sf_dir, "documents"), F.col("text"))
 
 

@@ -14,7 +14,7 @@ def documents(spark):
 
 def test_tokens_of_all_documents(spark):
     docs = documents(spark)
-    got = {r.doc_id: r for r in catalog.queries()["token_preservation_all"](spark, DATA).collect()}
+    got = {r.doc_id: r for r in catalog.queries()["token_preservation"](spark, DATA).collect()}
     assert set(got) == set(docs) and any(i % 2 for i in got)
     for i, d in docs.items():
         a, b = (re.findall(TOKEN, x, re.A) for x in (d.text, re.sub("[0-9]", "", d.text)))
@@ -24,7 +24,7 @@ def test_tokens_of_all_documents(spark):
 def test_context_of_all_chunks(spark):
     docs = documents(spark)
     chunks = {(r.doc_id, r.chunk_index): r.text for r in catalog.queries()["doc_chunks"](spark, DATA).collect()}
-    rows = catalog.queries()["context_prefixes_all"](spark, DATA).collect()
+    rows = catalog.queries()["context_prefixes"](spark, DATA).collect()
     assert {(r.doc_id, r.chunk_index) for r in rows} == set(chunks) and len(rows) == len(chunks) > len(docs)
     for r in rows:
         d, text, kept = docs[r.doc_id], chunks[r.doc_id, r.chunk_index], []
@@ -38,7 +38,7 @@ def test_context_of_all_chunks(spark):
 
 def test_escapes_of_whole_texts(spark):
     docs = documents(spark)
-    got = {r.doc_id: r for r in catalog.queries()["text_flags_all"](spark, DATA).collect()}
+    got = {r.doc_id: r for r in catalog.queries()["text_flags"](spark, DATA).collect()}
     assert set(got) == set(docs) and max(len(d.text) for d in docs.values()) > 200
     for i, d in docs.items():
         assert got[i].html == d.text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
