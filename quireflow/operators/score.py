@@ -46,7 +46,8 @@ def scorecard(chunks: DataFrame, *by: str) -> DataFrame:
         F.max("__size").cast("long").alias("text_max"), F.max("__embedding").cast("long").alias("embedding_max"), F.sum("__over").alias("hard_limit_violations"),
     )
     if not by:
-        return card.join(p95, F.lit(True), "left").join(copies, F.lit(True), "left")  # one row each
+        one = card.join(p95, F.lit(True), "left").join(copies, F.lit(True), "left")  # one row each
+        return one.na.fill(0, ["chunk_count", "context_prefix_chunks", "hard_limit_violations"])
     null = [F.col(f"c.{b}").eqNullSafe(F.col(f"p.{b}")) for b in by]
     out = card.alias("c").join(p95.alias("p"), null, "left").select("c.*", "text_p95").alias("c")
     return out.join(copies.alias("p"), null, "left").select("c.*", F.coalesce("duplicate_chunks", F.lit(0)).alias("duplicate_chunks"))
