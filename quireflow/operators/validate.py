@@ -28,9 +28,10 @@ def duplicate_ids(rows: DataFrame, code: str, column: str = "id") -> DataFrame:
 
 
 def missing(refs: DataFrame, known: DataFrame, ref: str, column: str, code: str) -> DataFrame:
-    """References to what does not exist."""
-    k = known.select(F.col("doc_id").alias("__d"), F.col(column).alias("__k")).distinct()
-    return issue(refs.filter(F.col(ref).isNotNull()).join(k, (F.col("doc_id") == F.col("__d")) & (F.col(ref) == F.col("__k")), "left_anti"), code, ref)
+    """References to what does not exist. Without doc_id, known holds for all documents. Known keys are unbounded, so they are never broadcast."""
+    k = known.select(F.col(column).alias("__k"), *([F.col("doc_id").alias("__d")] if "doc_id" in known.columns else [])).distinct().hint("merge")
+    on = F.col(ref) == F.col("__k")
+    return issue(refs.filter(F.col(ref).isNotNull()).join(k, on & (F.col("doc_id") == F.col("__d")) if "__d" in k.columns else on, "left_anti"), code, ref)
 
 
 def element_issues(elements: DataFrame) -> DataFrame:
