@@ -71,7 +71,7 @@ def merged(locators: Column) -> Column:
     """A struct of locators, an array of one where they are compatible, and precision: null for one locator, else range.
 
     Cells of a sheet that fill a rectangle, shapes of a slide, pages that follow each other, and runs of elements or
-    rows that touch become one locator. What cannot be one stays a list, without repeats, in the order of first appearance.
+    rows that touch become one locator, which keeps the source file if all have the same. What cannot be one stays a list, without repeats, in the order of first appearance.
     """
     distinct = F.array_distinct(F.filter(locators, lambda x: x.isNotNull()))
 
@@ -79,19 +79,20 @@ def merged(locators: Column) -> Column:
         get = lambda f: F.transform(ls, lambda x: x[f])
         same = lambda f: F.size(F.array_distinct(get(f))) == 1
         known = lambda f: F.forall(ls, lambda x: x[f].isNotNull())
-        first, fmt = F.get(ls, F.lit(0)), F.get(ls, F.lit(0))["format"]
+        first = F.get(ls, F.lit(0))
+        fmt, of = first["format"], {"format": first["format"], "source_file": F.when(same("source_file"), first["source_file"])}
         edge = lambda agg, f: agg(F.transform(bounds, lambda b: b[f]))
         sheet = (fmt == "xlsx") & same("sheet_name") & F.forall(bounds, lambda b: b.isNotNull()) & fills_rectangle(bounds)
-        cells = _locator(format=fmt, sheet_name=first["sheet_name"], cell_range=a1_label(edge(F.array_min, "left"), edge(F.array_min, "top"), edge(F.array_max, "right"), edge(F.array_max, "bottom")))
+        cells = _locator(**of, sheet_name=first["sheet_name"], cell_range=a1_label(edge(F.array_min, "left"), edge(F.array_min, "top"), edge(F.array_max, "right"), edge(F.array_max, "bottom")))
         slide = (fmt == "pptx") & same("slide_number") & (F.size(shapes) > 0)
         start, end = F.array_min(get("page_start")), F.array_max(get("page_end"))
         pages = (fmt == "pdf") & known("page_start") & known("page_end") & (F.array_max(get("page_start")) <= F.array_min(get("page_end")) + 1)
-        page = _locator(format=fmt, page_start=start, page_end=end, bboxes=F.when((start == end) & (F.size(boxes) > 0), boxes))
+        page = _locator(**of, page_start=start, page_end=end, bboxes=F.when((start == end) & (F.size(boxes) > 0), boxes))
         section = first["section_index"].isNull() | same("section_index")
-        out = F.when(sheet, cells).when(slide, _locator(format=fmt, slide_number=first["slide_number"], shape_ids=shapes)).when(pages, page)
+        out = F.when(sheet, cells).when(slide, _locator(**of, slide_number=first["slide_number"], shape_ids=shapes)).when(pages, page)
         for a, b in RUNS:
             touch = known(a) & known(b) & section & (F.array_max(get(a)) <= F.array_min(get(b)) + 1)
-            out = out.when(touch, _locator(format=fmt, section_index=first["section_index"], **{a: F.array_min(get(a)), b: F.array_max(get(b))}))
+            out = out.when(touch, _locator(**of, section_index=first["section_index"], **{a: F.array_min(get(a)), b: F.array_max(get(b))}))
         return F.when(same("format"), out)
 
     def joined(ls: Column) -> Column:
