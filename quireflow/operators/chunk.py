@@ -79,26 +79,27 @@ def leaves(elements: DataFrame) -> DataFrame:
     return elements.filter(F.col("type") != "document").filter(~blank(F.col("content"))).join(parents, ["doc_id", "id"], "left_anti")
 
 
-def coalesced(elements: DataFrame, limit: int = LIMIT) -> DataFrame:
+def coalesced(elements: DataFrame, limit: int = LIMIT, cut: bool = True) -> DataFrame:
     """Chunks of leaf elements (doc_id, id, parent_id, ordinal, type, content, heading_path), in order.
 
     Neighbours are joined while parent and heading path stay and the text fits; headings and elements of several parts
-    stand alone. A document's elements are folded in one expression, as each step depends on the one before.
+    stand alone. Without cut, an element that is longer than limit is a chunk as it is. A document's elements are folded in one expression, as each step
+    depends on the one before.
     """
-    e = elements.select("doc_id", F.struct("ordinal", "id", "parent_id", "type", F.coalesce("heading_path", F.expr(NONE)).alias("path"), F.regexp_replace("content", r"\A[# ]+", "").alias("own"), split_text(F.col("content"), limit).alias("parts")).alias("e"))
+    e = elements.select("doc_id", F.struct("ordinal", "id", "parent_id", "type", F.coalesce("heading_path", F.expr(NONE)).alias("path"), F.regexp_replace("content", r"\A[# ]+", "").alias("own"), (split_text(F.col("content"), limit) if cut else F.array(strip(F.col("content")))).alias("parts")).alias("e"))
     d = e.groupBy("doc_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
     chunk = "struct<path: array<string>, ids: array<string>, text: string, part_index: int, part_count: int>"
     pend = "named_struct('path', s.path, 'ids', s.ids, 'text', s.text, 'part_index', 1, 'part_count', 1)"
     flushed = f"CASE WHEN size(s.ids) > 0 THEN concat(s.done, array({pend})) ELSE s.done END"
     path = "CASE WHEN e.type = 'heading' THEN concat(e.path, array(e.own)) ELSE e.path END"
-    cut = f"(e.type = 'heading' OR size(e.parts) != 1 OR (size(s.ids) > 0 AND (NOT e.parent_id <=> s.parent OR s.path != p OR length(s.text) + length(e.parts[0]) + 2 > {limit})))"
+    apart = f"(e.type = 'heading' OR size(e.parts) != 1 OR (size(s.ids) > 0 AND (NOT e.parent_id <=> s.parent OR s.path != p OR length(s.text) + length(e.parts[0]) + 2 > {limit})))"
     state = lambda done, ids, text, parent, way: f"named_struct('done', {done}, 'ids', {ids}, 'text', {text}, 'parent', {parent}, 'path', {way})"
     empty = (NONE, "''", "cast(null AS string)", NONE)
     one = "named_struct('path', p, 'ids', array(e.id), 'text', e.parts[0], 'part_index', 1, 'part_count', 1)"
     many = "transform(e.parts, (t, k) -> named_struct('path', p, 'ids', array(e.id), 'text', t, 'part_index', k + 1, 'part_count', size(e.parts)))"
     step = f"""CASE WHEN e.type = 'heading' AND size(e.parts) = 1 THEN {state(f"concat({flushed}, array({one}))", *empty)}
       WHEN size(e.parts) != 1 THEN {state(f"concat({flushed}, {many})", *empty)}
-      WHEN {cut} OR size(s.ids) = 0 THEN {state(flushed, "array(e.id)", "e.parts[0]", "e.parent_id", "p")}
+      WHEN {apart} OR size(s.ids) = 0 THEN {state(flushed, "array(e.id)", "e.parts[0]", "e.parent_id", "p")}
       ELSE {state("s.done", "concat(s.ids, array(e.id))", "concat(s.text, '\\n\\n', e.parts[0])", "e.parent_id", "p")} END"""
     inner = f"transform(array({path}), p -> {step})[0]"
     chunks = f"aggregate(es, {state(f'cast(array() AS array<{chunk}>)', *empty)}, (s, e) -> {inner}, s -> {flushed})"
