@@ -150,10 +150,13 @@ def span(c: Column) -> Column:
     return F.when(n >= 1, n).otherwise(1)
 
 
+def shared_area(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(ax1, bx1) - F.greatest(ax0, bx0)) * F.greatest(F.lit(0.0), F.least(ay1, by1) - F.greatest(ay0, by0))
+
+
 def overlap_ratio(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
     """Area that two boxes share, of the first one's area (at least 1)."""
-    width, height = F.greatest(F.lit(0.0), F.least(ax1, bx1) - F.greatest(ax0, bx0)), F.greatest(F.lit(0.0), F.least(ay1, by1) - F.greatest(ay0, by0))
-    return width * height / F.greatest((ax1 - ax0) * (ay1 - ay0), F.lit(1.0))
+    return shared_area(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) / F.greatest((ax1 - ax0) * (ay1 - ay0), F.lit(1.0))
 
 
 def cell_text(value: Column, number_format: Column) -> Column:

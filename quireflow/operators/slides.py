@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.functions.scalars import overlap_ratio
+from quireflow.functions.scalars import shared_area
 from quireflow.operators.layout import meeting
 
 SLIDE = ("doc_id", "slide")
@@ -32,7 +32,7 @@ def flows(shapes: DataFrame, slides: DataFrame) -> DataFrame:
     pairs = meeting(s, s, SLIDE).filter("a < b").join(slides.select(*SLIDE, "width"), list(SLIDE))
     box = lambda k: [F.col(k + c) for c in CORNERS]
     area = lambda k: F.greatest((F.col(k + "x1") - F.col(k + "x0")) * (F.col(k + "y1") - F.col(k + "y0")), F.lit(1.0))
-    ratio = overlap_ratio(*box("a"), *box("b")) * area("a") / F.least(area("a"), area("b"))
+    ratio = shared_area(*box("a"), *box("b")) / F.least(area("a"), area("b"))  # one division: a share of exactly a fifth counts
     shared = F.greatest(F.lit(0.0), F.least("ay1", "by1") - F.greatest("ay0", "by0")) / F.greatest(F.lit(1.0), F.least(F.col("ay1") - F.col("ay0"), F.col("by1") - F.col("by0")))
     wide = F.greatest("width", F.lit(1.0))
     apart = F.greatest(F.col("bx0") - F.col("ax1"), F.col("ax0") - F.col("bx1")) >= wide * 0.02
