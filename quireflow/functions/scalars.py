@@ -47,17 +47,38 @@ def csv_field(c: Column) -> Column:
 FOLDS = {x: x.casefold() for x in map(chr, range(0x80, 0x1F000)) if x.lower() == x and x.casefold() != x}
 
 
+#: The one of them that is common has a way of its own; where the others lie, roughly and in runs, which keeps the classes that every character is held against short.
+SHARP_S = "\u00df"
+RARE = sorted(set(FOLDS) - {SHARP_S})
+ROUGHLY = "[\\x{b5}\\x{149}-\\x{10ffff}]"
+
+
+def _runs(chars: list[str]) -> str:
+    """A class of sorted characters, neighbours as ranges."""
+    runs: list[list[int]] = []
+    for x in map(ord, chars):
+        if runs and x == runs[-1][1] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def folded(c: Column) -> Column:
     """Full case folding: lower case, and what folding does beyond it where a text has such a character."""
     low = F.lower(c)
-    table = F.create_map(*(F.lit(x) for pair in FOLDS.items() for x in pair))
-    each = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    return F.when(low.rlike("[" + "".join(FOLDS) + "]"), each).otherwise(low)
+    usual = F.replace(low, F.lit(SHARP_S), F.lit(FOLDS[SHARP_S]))
+    one = [x for x in RARE if len(FOLDS[x]) == 1]
+    each = F.translate(usual, "".join(one), "".join(FOLDS[x] for x in one))
+    for x in RARE:
+        if len(FOLDS[x]) > 1:
+            each = F.replace(each, F.lit(x), F.lit(FOLDS[x]))
+    return F.when(low.rlike(ROUGHLY) & low.rlike(_runs(RARE)), each).otherwise(usual)
 
 
 def comparable(c: Column) -> Column:
-    """White space collapsed and trimmed, case folded: what counts as the same text in a scorecard."""
-    return folded(strip(F.regexp_replace(c, SPACE, " ")))
+    """White space collapsed and trimmed, case folded: what counts as the same text in a scorecard. Single blanks, which are most, are left alone."""
+    return folded(F.trim(F.regexp_replace(c, r"(?U)(?: \s|[^\S ])\s*+", " ")))
 
 
 def reviewable(c: Column) -> Column:

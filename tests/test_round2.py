@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from quireflow.functions import scalars
 from quireflow.operators import provenance, slides
 from quireflow.plans import catalog
 from tests.conftest import DATA
@@ -60,3 +61,11 @@ def test_a_share_of_exactly_a_fifth_overlaps(spark):
     page = spark.createDataFrame([(1, 1, 600.0, 800.0)], "doc_id long, slide int, width double, height double")
     assert slides.flows(shapes, page).first().overlapping_pairs == 1
     assert {r.order_confidence for r in slides.plan(shapes, page).collect()} == {0.6}
+
+
+def test_folding_is_by_text_not_by_character(spark):
+    texts = [*scalars.FOLDS, "Straße GROß", "ﬁn ſtraße ΐ", "plain", "  a \t b\n", ""]
+    d = spark.createDataFrame([(x,) for x in texts], "t string").select("t", scalars.comparable(F.col("t")).alias("c"))
+    assert "transform(" not in plan(d)
+    for r in d.collect():
+        assert r.c == " ".join(r.t.split()).casefold()
