@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +68,21 @@ def split_text(text: Column, limit: int = LIMIT) -> Column:
     return F.when(whole == "", F.expr(NONE)).when(F.length(whole) <= limit, F.array(whole)).otherwise(packed)
 
 
-def text_chunks(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id") -> DataFrame:
+def split_plain(text: Column, limit: int = LIMIT) -> Column:
+    """Parts of at most limit characters of text without structure: one that fits stays as it is, and of a longer one only LF ends a line and only blanks part words."""
+    half = max(1, limit // 2)
+    # A line's first part keeps the blanks it begins with.
+    pattern = rf"(?s)(?:\A|(?!\A) *+)(.{{1,{limit}}}\z|.{{{half},{limit}}}(?= )|.{{{limit}}})"
+    trimmed = lambda x: F.rtrim(x)
+    cut = lambda x: F.when(F.length(x) <= limit, F.array(trimmed(x))).otherwise(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), trimmed))
+    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
+    packed = _fold(F.flatten(F.transform(lines, cut)), limit, "\n\n")
+    return F.when(text == "", F.expr(NONE)).when(F.length(text) <= limit, F.array(text)).otherwise(packed)
+
+
+def text_chunks(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", split: Callable[[Column, int], Column] = split_text) -> DataFrame:
     """Chunks of documents of one element each: numbered from 1, with part counts. No shuffle."""
-    d = docs.select(key, split_text(F.coalesce("text", F.lit("")), limit).alias("parts"))
+    d = docs.select(key, split(F.coalesce("text", F.lit("")), limit).alias("parts"))
     d = d.select(key, F.size("parts").alias("part_count"), F.posexplode("parts").alias("no", "text"))
     return d.select(key, (F.col("no") + 1).alias("chunk_index"), (F.col("no") + 1).alias("part_index"), "part_count", "text", F.length("text").alias("char_count"))
 
@@ -130,4 +144,4 @@ def with_context(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     return c.withColumn("context_char_count", F.length("context_prefix")).withColumn("embedding_text", F.concat("context_prefix", "text")).withColumn("embedding_char_count", F.length("embedding_text")).drop("__lines", "__kept")
 
 
-__all__ = ["LIMIT", "SPACE", "coalesced", "cut_line", "cut_pipe_table", "leaves", "split_text", "text_chunks", "with_context"]
+__all__ = ["LIMIT", "SPACE", "coalesced", "cut_line", "cut_pipe_table", "leaves", "split_plain", "split_text", "text_chunks", "with_context"]

@@ -19,11 +19,11 @@ def _share(part: Column, of: Column) -> Column:
     return part / F.nullif(of, F.lit(0))
 
 
-def scorecard(chunks: DataFrame, *by: str) -> DataFrame:
+def scorecard(chunks: DataFrame, *by: str, blanks: bool = False) -> DataFrame:
     """Counts, coverages (null if there is nothing to cover) and lengths: mean, nearest-rank 95th percentile and maximum.
 
     chunks may have context_prefix, related (how many elements), located and embedding_text; what it lacks counts as absent.
-    Texts are read once: they are counted by hash and length, and all figures are made of these counts.
+    Blank texts are copies of each other only with blanks. Texts are read once: they are counted by hash and length, and all figures are made of these counts.
     """
     have = set(chunks.columns)
     text = F.length("text")
@@ -32,7 +32,7 @@ def scorecard(chunks: DataFrame, *by: str) -> DataFrame:
     located = F.coalesce(F.col("located"), F.lit(False)) if "located" in have else F.lit(False)
     whole = lambda c: F.sum(c.cast("long"))
     same = comparable(F.col("text"))
-    read = chunks.select(*by, F.when(same != "", F.sha2(same, 256)).alias("__h"), text.alias("__size"), embedding.alias("__embedding"), context.alias("__context"), located.alias("__located"))
+    read = chunks.select(*by, (F.sha2(same, 256) if blanks else F.when(same != "", F.sha2(same, 256))).alias("__h"), text.alias("__size"), embedding.alias("__embedding"), context.alias("__context"), located.alias("__located"))
     counted = stored(read.groupBy(*by, "__h", "__size").agg(F.count("*").alias("__n"), whole(F.col("__context")).alias("__context"), whole(F.col("__located")).alias("__located"), F.max("__embedding").alias("__embedding"), whole(F.col("__embedding") > 2000).alias("__over")), "counted")
     texts = counted.groupBy(*by, "__h").agg(F.sum("__n").alias("__n"))
     copies = texts.groupBy(*by).agg(F.sum(F.when(F.col("__h").isNotNull(), F.col("__n") - 1).otherwise(0)).alias("duplicate_chunks"))
