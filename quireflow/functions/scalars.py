@@ -86,8 +86,11 @@ def reviewable(c: Column) -> Column:
     return comparable(F.regexp_replace(c, r"[`*_\[\]()<>|]", ""))
 
 
+MOJIBAKE = "[�\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
+
+
 def mojibake_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit("[�\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"))
+    return F.regexp_count(c, F.lit(MOJIBAKE))
 
 
 TOKEN = r"https?://[^\s)\]>]+|\b\d{4}-\d{2}-\d{2}\b|\b\d{2,3}年\d{1,2}月\d{1,2}日|\btable-[A-Za-z0-9._-]+\b|\$[\d,]+(?:\.\d+)?|\b\d+(?:\.\d+)?%|\b\d+(?:\.\d+)?\b"
