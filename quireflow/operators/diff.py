@@ -47,8 +47,11 @@ def table_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def warning_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    b, a = before.select("doc_id", "code").distinct(), after.select("doc_id", "code").distinct()
-    return a.exceptAll(b).withColumn("category", F.lit("warning_added")).unionByName(b.exceptAll(a).withColumn("category", F.lit("warning_removed")))
+    """doc_id, code, category of codes that only one side has. One aggregation of both sides, with two flags a code."""
+    side = lambda df, old: df.select("doc_id", "code", F.lit(old).alias("__old"))
+    both = side(before, True).unionByName(side(after, False)).groupBy("doc_id", "code").agg(F.bool_or("__old").alias("__b"), F.bool_and("__old").alias("__all"))
+    lone = both.filter("NOT __b OR __all")
+    return lone.select("doc_id", "code", F.when(F.col("__b"), "warning_removed").otherwise("warning_added").alias("category"))
 
 
 def same_confidence(a: Column, b: Column, ocr: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quireflow.functions import scalars
-from quireflow.operators import provenance, slides
+from quireflow.operators import diff, provenance, slides
 from quireflow.plans import catalog
 from tests.conftest import DATA
 from tests.test_queries import TABLES, rows
@@ -81,3 +81,10 @@ ODD = """SELECT row_number() OVER ()::BIGINT AS doc_id, t AS text, 'en' AS lang,
 @pytest.mark.parametrize("name", ["doc_chunks", "context_prefixes", "scorecard_rollup", "chunk_scorecard", "quality_status", "text_blocks"])
 def test_odd_texts(spark, tmp_path, name):
     assert sql_agrees(spark, tmp_path, name, documents=ODD)
+
+
+def test_warnings_are_compared_in_one_aggregation(spark):
+    w = lambda *r: spark.createDataFrame(list(r), "doc_id long, code string")
+    d = diff.warning_changes(w((1, "A"), (1, "B"), (1, "B"), (2, None)), w((1, "A"), (1, "A"), (1, "C"), (2, None), (3, "A")))
+    assert "replicaterows" not in plan(d) and "Join" not in plan(d)
+    assert sorted(map(tuple, d.collect())) == [(1, "B", "warning_removed"), (1, "C", "warning_added"), (3, "A", "warning_added")]
