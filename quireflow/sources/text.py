@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.functions.scalars import attachment_base, blank, json_depth
+from quireflow.sources.slices import slices
 
 MAX_DEPTH = 1000
 
@@ -111,28 +112,30 @@ def mails(files: DataFrame) -> DataFrame:
     from email import policy
     from email.parser import BytesParser
 
+    def read(raw: bytes | None) -> tuple:
+        m = BytesParser(policy=policy.default).parsebytes(raw or b"")
+        body, kind = "", None
+        parts = list(m.walk())
+        for wanted in ("text/plain", "text/html"):
+            part = next((p for p in parts if p.get_content_type() == wanted and p.get_content_disposition() != "attachment"), None)
+            if part is not None:
+                try:
+                    body = part.get_content()
+                except (LookupError, UnicodeDecodeError, KeyError):
+                    body = (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+                kind = wanted
+                break
+        if kind == "text/html":
+            body = re.sub(r"<[^>]+>", "", body)
+        files_ = [(p.get_filename() or "attachment.bin", p.get_payload(decode=True) or b"") for p in parts if p.get_content_disposition() == "attachment"]
+        head = [str(m[h]) if m[h] is not None else None for h in ("Subject", "From", "To", "Cc", "Date")]
+        return (*head, body.strip(), kind, [{"name": n, "content": c} for n, c in files_])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc, raw in zip(b["doc_id"], b["content"], strict=True):
-                m = BytesParser(policy=policy.default).parsebytes(raw or b"")
-                body, kind = "", None
-                parts = list(m.walk())
-                for wanted in ("text/plain", "text/html"):
-                    part = next((p for p in parts if p.get_content_type() == wanted and p.get_content_disposition() != "attachment"), None)
-                    if part is not None:
-                        try:
-                            body = part.get_content()
-                        except (LookupError, UnicodeDecodeError, KeyError):
-                            body = (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
-                        kind = wanted
-                        break
-                if kind == "text/html":
-                    body = re.sub(r"<[^>]+>", "", body)
-                files_ = [(p.get_filename() or "attachment.bin", p.get_payload(decode=True) or b"") for p in parts if p.get_content_disposition() == "attachment"]
-                head = [str(m[h]) if m[h] is not None else None for h in ("Subject", "From", "To", "Cc", "Date")]
-                out.append((doc, *head, body.strip(), kind, [{"name": n, "content": c} for n, c in files_]))
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "sender", "recipients", "cc", "date", "body", "body_kind", "attachments"])
+            for part, once in slices(b):
+                out = [(doc, *once(raw, read)) for doc, raw in zip(part["doc_id"], part["content"], strict=True)]
+                yield pd.DataFrame(out, columns=["doc_id", "subject", "sender", "recipients", "cc", "date", "body", "body_kind", "attachments"])
 
     d = files.select("doc_id", "content")
     return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, subject string, sender string, recipients string, cc string, date string, body string, body_kind string, attachments array<struct<name: string, content: binary>>")
