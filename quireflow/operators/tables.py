@@ -91,12 +91,9 @@ def used_region(cells: DataFrame, *by: str) -> DataFrame:
 
 def sheet_blocks(cells: DataFrame, *by: str) -> DataFrame:
     """Blocks that blank rows, and within those blank columns, separate: runs of consecutive numbers, twice."""
-    rows = cells.select(*by, "row").distinct()
-    run = rows.withColumn("band", F.col("row") - F.row_number().over(Window.partitionBy(*by).orderBy("row")))
-    banded = cells.join(run, [*by, "row"])
-    cols = banded.select(*by, "band", "column").distinct()
-    run = cols.withColumn("strip", F.col("column") - F.row_number().over(Window.partitionBy(*by, "band").orderBy("column")))
-    own = banded.join(run, [*by, "band", "column"])
-    extent = own.groupBy(*by, "band").agg(F.min("row").alias("row_start"), F.max("row").alias("row_end"))
-    strips = own.groupBy(*by, "band", "strip").agg(F.min("column").alias("col_start"), F.max("column").alias("col_end"), F.count("*").alias("n_cells"))
-    return strips.join(extent, [*by, "band"]).select(*by, "row_start", "row_end", "col_start", "col_end", "n_cells")
+    rank = lambda of, *part: F.col(of) - F.dense_rank().over(Window.partitionBy(*by, *part).orderBy(of))
+    own = cells.filter("row IS NOT NULL AND column IS NOT NULL").withColumn("band", rank("row")).withColumn("strip", rank("column", "band"))
+    band = Window.partitionBy(*by, "band")
+    own = own.withColumns({"row_start": F.min("row").over(band), "row_end": F.max("row").over(band)})
+    strips = own.groupBy(*by, "band", "strip", "row_start", "row_end").agg(F.min("column").alias("col_start"), F.max("column").alias("col_end"), F.count("*").alias("n_cells"))
+    return strips.select(*by, "row_start", "row_end", "col_start", "col_end", "n_cells")
