@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions.scalars import SAFE_ID, csv_field, escape_html, escape_pipe
+from quireflow.operators.parts import dealt
 
 
 def rectangular(grid: Column) -> Column:
@@ -43,8 +44,9 @@ def expanded(cells: DataFrame) -> DataFrame:
 
 
 def overlaps(cells: DataFrame) -> DataFrame:
-    """Positions that more than one span covers."""
-    return covered(cells).groupBy("doc_id", "table_id", "r", "c").agg(F.count("*").alias("n")).filter("n > 1")
+    """Positions that more than one span covers. They are dealt out by document and row, so that one table's are many parts."""
+    at = ("doc_id", "table_id", "r", "c")
+    return dealt(covered(cells).select(*at), "doc_id", "r").groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def _lines(rows: DataFrame, line: Column, head: Column | None = None) -> DataFrame:

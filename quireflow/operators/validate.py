@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quireflow.functions.scalars import a1_bounds, inside
 from quireflow.lineage import stored
 from quireflow.operators import model
-from quireflow.operators.tables import SAFE_ID, covered
+from quireflow.operators.parts import dealt, parts
+from quireflow.operators.tables import SAFE_ID, overlaps
 
 INVERSE = {"caption_of": "captioned_by", "captioned_by": "caption_of", "note_for": "has_note", "has_note": "note_for"}
 
@@ -24,7 +25,7 @@ def _union(*parts: DataFrame) -> DataFrame:
 
 
 def duplicate_ids(rows: DataFrame, code: str, column: str = "id") -> DataFrame:
-    return issue(rows.groupBy("doc_id", column).agg(F.count("*").alias("n")).filter("n > 1"), code, column)
+    return issue(dealt(rows.select("doc_id", column), "doc_id", column).groupBy("doc_id", column).agg(F.count("*").alias("n")).filter("n > 1"), code, column)
 
 
 def missing(refs: DataFrame, known: DataFrame, ref: str, column: str, code: str) -> DataFrame:
@@ -88,13 +89,16 @@ def chunk_issues(chunks: DataFrame, elements: DataFrame | None = None, limit: in
 
 
 def table_issues(tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """Ids, bounds of cells, overlapping spans, against stated dimensions."""
-    j = cells.join(tables.select("doc_id", "table_id", "n_rows", "n_columns"), ["doc_id", "table_id"])
+    """Ids, bounds of cells, overlapping spans, against stated dimensions. Cells meet tables once, for their bounds and for tables that don't exist."""
+    known = tables.select(F.col("doc_id").alias("__d"), F.col("table_id").alias("__t"), "n_rows", "n_columns")
+    placed = cells.filter(F.col("table_id").isNotNull()).select("doc_id", "table_id", "row", "column", "rowspan", "colspan")
+    n = parts(known, placed)
+    j = dealt(placed, "doc_id", "table_id", n=n).join(dealt(known, "__d", "__t", n=n).hint("merge"), (F.col("doc_id") == F.col("__d")) & (F.col("table_id") == F.col("__t")), "left")
     out = (F.col("row") < 0) | (F.col("column") < 0) | (F.col("row") + F.col("rowspan") > F.col("n_rows")) | (F.col("column") + F.col("colspan") > F.col("n_columns"))
-    twice = covered(cells).groupBy("doc_id", "table_id", "r", "c").agg(F.count("*").alias("n")).filter("n > 1")
+    code = F.when(F.col("__t").isNull(), "TABLE_REFERENCE_UNKNOWN").when(out, "TABLE_CELL_OUT_OF_BOUNDS")
     return _union(
         issue(tables.filter(~F.col("table_id").rlike(SAFE_ID)), "TABLE_ID_UNSAFE", "table_id"), duplicate_ids(tables, "TABLE_ID_DUPLICATE", "table_id"),
-        issue(j.filter(out), "TABLE_CELL_OUT_OF_BOUNDS", "table_id"), issue(twice, "TABLE_SPAN_OVERLAP", "table_id"), missing(cells, tables, "table_id", "table_id", "TABLE_REFERENCE_UNKNOWN"),
+        j.select("doc_id", code.alias("code"), F.col("table_id").cast("string").alias("subject")).filter("code IS NOT NULL"), issue(overlaps(cells), "TABLE_SPAN_OVERLAP", "table_id"),
     )
 
 
