@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,30 +68,25 @@ def table_targets(tables: DataFrame, explicit: bool = False) -> DataFrame:
 def bounded(targets: DataFrame, limit: int = TARGET_CHARS) -> DataFrame:
     """target_id, n_chars, rows_kept, markdown and truncations: rows are halved, then the Markdown cut to 200 characters, until the target fits.
 
-    Each round depends on the length after the one before; only targets that are too long enter the loop.
+    Characters are those of the target as JSON with sorted keys and no blanks. Each row is written once; its length tells what every halving leaves.
     """
-    import json
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, tid, grid, text in zip(b["doc_id"], b["target_id"], b["grid"], b["faithful_markdown"], strict=True):
-                rows, cuts = [list(r) for r in grid], []
-                size = lambda: len(json.dumps({"canonical": {"grid": rows}, "faithful_markdown": text, "target_id": tid}, ensure_ascii=False, sort_keys=True, separators=(",", ":")))  # noqa: B023, E731
-                while size() > limit:
-                    if len(rows) > 1:
-                        rows = rows[: max(1, len(rows) // 2)]
-                        cuts.append("grid_rows_reduced")
-                    elif len(text) > 200:
-                        text = text[:200]
-                        cuts.append("markdown_context_truncated")
-                    else:
-                        cuts.append("too_large")
-                        break
-                out.append((doc, tid, size(), len(rows), text, cuts))
-            yield pd.DataFrame(out, columns=["doc_id", "target_id", "n_chars", "rows_kept", "faithful_markdown", "truncations"])
-
-    return targets.select("doc_id", "target_id", "grid", "faithful_markdown").mapInPandas(run, "doc_id long, target_id string, n_chars long, rows_kept long, faithful_markdown string, truncations array<string>")
+    frame = len(json.dumps({"canonical": {"grid": []}, "faithful_markdown": "", "target_id": ""}, separators=(",", ":"))) - len('""""')
+    chars = lambda x: F.length(F.to_json(F.array(x))).cast("long") - 2
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    halved = lambda n, k: F.call_function("shiftright", n, k)
+    first = lambda xs, k: F.aggregate(F.slice(xs, 1, k), F.greatest(k - 1, F.lit(0)).cast("long"), lambda a, x: a + x)
+    grid = F.coalesce("grid", F.expr("cast(array() AS array<array<string>>)"))
+    t = targets.select("doc_id", "target_id", "faithful_markdown", F.transform(grid, lambda r: F.coalesce(F.length(F.to_json(r)), F.lit(len("null")))).alias("__rows"))
+    n = F.size("__rows")
+    t = t.withColumns({"__n": n, "__most": F.length(F.bin(n)) - 1, "__room": limit - frame - chars(F.col("target_id"))})
+    t = t.withColumn("__sizes", once(F.col("__rows"), lambda xs: F.transform(F.sequence(F.lit(0), F.col("__most")), lambda k: first(xs, halved(F.col("__n"), k)))))
+    over = once(F.col("__room") - chars(F.col("faithful_markdown")), lambda room: F.size(F.filter("__sizes", lambda x: x > room)))
+    t = t.withColumn("__over", over).withColumn("__cuts", F.least("__over", "__most"))
+    short = (F.col("__over") > F.col("__most")) & (F.length("faithful_markdown") > 200)
+    t = t.withColumn("__short", F.coalesce(short, F.lit(False))).withColumn("faithful_markdown", F.when(F.col("__short"), F.left("faithful_markdown", F.lit(200))).otherwise(F.col("faithful_markdown")))
+    t = t.withColumn("n_chars", F.get("__sizes", F.col("__cuts")) + limit - F.col("__room") + chars(F.col("faithful_markdown")))
+    last = F.array_compact(F.array(F.when(F.col("__short"), "markdown_context_truncated"), F.when(F.col("n_chars") > limit, "too_large")))
+    return t.select("doc_id", "target_id", "n_chars", halved(F.col("__n"), F.col("__cuts")).cast("long").alias("rows_kept"), "faithful_markdown", F.concat(F.array_repeat(F.lit("grid_rows_reduced"), F.col("__cuts")), last).alias("truncations"))
 
 
 PROHIBITED = ("invent_content", "remove_source_content", "change_numbers", "change_dates", "change_urls", "change table geometry", "merge unrelated source sections", "rewrite canonical JSON", "change provenance")
